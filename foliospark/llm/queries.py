@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from foliospark.llm import line_dedup, quality_rules, simhash_dedup, source_mixing
+from foliospark.llm import license_scan, line_dedup, packing, quality_rules, simhash_dedup, source_mixing, toxicity
 from foliospark.llm.support import table
 
 QUERIES = {
+    "op1_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op2_license_scan": lambda spark, d: license_scan.license_scan(table(spark, d, "documents")),
+    "op3_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_quality_rules": lambda spark, d: quality_rules.quality_rules(table(spark, d, "documents")),
     "op5_simhash_dedup": lambda spark, d: simhash_dedup.simhash_components(table(spark, d, "documents")),
     "op6_source_mixing": lambda spark, d: source_mixing.mix(table(spark, d, "documents")),
