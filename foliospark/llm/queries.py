@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import license_scan, line_dedup, packing, quality_rules, simhash_dedup, source_mixing, toxicity
+from foliospark.llm import chat_format, language_id, license_scan, line_dedup, media_columns, packing, quality_rules, simhash_dedup, source_mixing, toxicity
 from foliospark.llm.support import table
 
 QUERIES = {
@@ -12,6 +12,9 @@ QUERIES = {
     "op4_quality_rules": lambda spark, d: quality_rules.quality_rules(table(spark, d, "documents")),
     "op5_simhash_dedup": lambda spark, d: simhash_dedup.simhash_components(table(spark, d, "documents")),
     "op6_source_mixing": lambda spark, d: source_mixing.mix(table(spark, d, "documents")),
+    "op7_chat_format": lambda spark, d: chat_format.format_digest(table(spark, d, "conversations")),
+    "op8_language_id": lambda spark, d: language_id.language_id(table(spark, d, "pages"), table(spark, d, "documents")),
+    "op9_media_columns": lambda spark, d: media_columns.media_columns(table(spark, d, "documents")),
     "op10_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
 }
 
@@ -60,6 +63,14 @@ q AS (SELECT *, greatest(0, least(size, quota - start)) AS a, greatest(0, least(
 SELECT doc_id, source, size, source_size, target, (a + b)::BIGINT AS taken,
   CASE WHEN a > 0 THEN 2 * x / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * x)) END AS position,
   CASE WHEN b > 0 THEN 2 * y / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y)) END AS repeat_position FROM q""",
+    "op7_chat_format": r"""
+WITH r AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(regexp_replace(t, '␛', '␛␛', 'g'), '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|', '\0␛', 'g')) AS n FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(12 + length(role) + 1 + n + 11))::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
     "op10_line_dedup": rf"""
 WITH b AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 e AS (SELECT rid, doc_id, i, l[i] AS line, translate(trim(l[i], {_WS}), {_A}, {_a}) AS k FROM b, unnest(range(1, len(l) + 1)) AS r(i)),
