@@ -22,7 +22,9 @@ SHARD_TOKENS, SHARD_DOCS = 3_000_000, 30_000
 #: BM25's constants; terms of a seed that query the index; neighbours that one query ranks.
 K1, B, QUERY_TERMS, RANKED = 1.2, 0.75, 24, 64
 #: Documents whose ids are put together at once; words whose ids a Python worker remembers.
-ROWS_AT_ONCE, WORDS_KEPT = 1_000, 300_000
+ROWS_AT_ONCE, WORDS_KEPT = 1_000, 250_000
+#: Texts whose words are looked up at once.
+TEXTS_AT_ONCE = 10_000
 
 
 def default_tokenizer() -> str:
@@ -33,10 +35,14 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, which of its ids end a word, and the word ids that this worker remembers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    ends = np.zeros(tok.get_vocab_size(), dtype=bool)
+    ends[[n for w, n in tok.get_vocab().items() if w.endswith("</w>")]] = True
+    return tok, ends, {}
 
 
 @lru_cache(maxsize=1)
@@ -46,17 +52,61 @@ def _shuffled(size: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.permutation(size).astype(np.int64), rng.permutation(size).astype(np.int64)
 
 
-def _word_ids(path: str, words: list[str]) -> list[bytes]:
-    """Each white-space-free chunk's ids as bytes. The tokenizer drops white space and joins nothing across it."""
-    tok, known = _tokenizer(path)
-    found = [known.get(w) for w in words]
-    if missing := [w for w, f in zip(words, found, strict=True) if f is None]:
-        fresh = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(missing, add_special_tokens=False)]
-        if len(known) < WORDS_KEPT:
-            known.update(zip(missing, fresh, strict=True))
-        new = iter(fresh)
-        found = [next(new) if f is None else f for f in found]
-    return found
+#: Marks that may end a chunk of letters: alone and together they are one word to the tokenizer.
+_TAIL = '.,;:!?#*$%&|()"=+/-'
+
+
+def _encode(tok, ends: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of words that are each one word to the tokenizer: encoded in one text and cut at word ends."""
+    out: list[bytes] = []
+    for k in range(0, len(words), 20_000):
+        block = words[k : k + 20_000]
+        ids = np.array(tok.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(cuts) == len(block):
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        else:
+            out += _encode_each(tok, block)
+    return out
+
+
+def _encode_each(tok, words: list[str]) -> list[bytes]:
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _word_ids(path: str, chunks: list[str]) -> list[bytes]:
+    """Each chunk's ids as bytes. The tokenizer drops white space, joins nothing across it, and lowers case.
+
+    A chunk of letters and marks is two words to it; such words are looked up in lower case, so that
+    few are left to encode. Other chunks are encoded as they are.
+    """
+    tok, ends, known = _tokenizer(path)
+    out = list(map(known.get, chunks))
+    late: list[tuple[int, str, str]] = []
+    simple: dict[str, bytes] = {}
+    other: list[int] = []
+    for k, hit in enumerate(out):
+        if hit is None:
+            base = (chunk := chunks[k]).rstrip(_TAIL)
+            if not base or base.isalpha() and (base.isascii() or max(base) < "\u0250"):
+                tail = chunk[len(base) :]
+                base = base.lower()
+                late.append((k, base, tail))
+                simple[base] = simple[tail] = b""
+            else:
+                other.append(k)
+    missing = [w for w in simple if w and w not in known]
+    simple.update((w, known[w]) for w in simple if w in known)
+    simple.update(zip(missing, _encode(tok, ends, missing), strict=True))
+    for k, base, tail in late:
+        out[k] = simple[base] + simple[tail] if tail else simple[base]
+    for k, ids in zip(other, _encode_each(tok, [chunks[k] for k in other]), strict=True):
+        out[k] = ids
+    if len(known) < WORDS_KEPT:
+        known.update(simple)
+        known.update((chunks[k], out[k]) for k, _, _ in late)
+    return out
 
 
 def token_ids(path: str, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -64,24 +114,32 @@ def token_ids(path: str, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarr
     texts = pc.fill_null(texts.cast(pa.string()), "")
     texts = pc.replace_substring(texts, "\n", " ")
     lists = pc.split_pattern(texts, " ")
+    rows = len(texts)
+    del texts
     starts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
+    del lists
     index = coded.indices.to_numpy()
     chunks = _word_ids(path, coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) // 4
+    sizes = np.fromiter(map(len, chunks), np.int32, len(chunks)) // 4
     flat = np.frombuffer(b"".join(chunks), dtype="<u4")
-    begin = np.cumsum(sizes) - sizes
-    for k in range(0, len(texts), ROWS_AT_ONCE):
+    del chunks, coded
+    begin = np.cumsum(sizes, dtype=np.int64) - sizes
+    for k in range(0, rows, ROWS_AT_ONCE):
         own = starts[k : k + ROWS_AT_ONCE + 1]
         word = index[own[0] : own[-1]]
         n = sizes[word]
-        until = np.r_[0, np.cumsum(n)]
+        until = np.r_[0, np.cumsum(n, dtype=np.int64)]
         total = until[own - own[0]]
-        rows = np.repeat(np.arange(len(own) - 1), np.diff(total))
-        at = np.arange(total[-1])
-        ids = np.full(total[-1] + len(own) - 1, END_ID, dtype=np.uint32)
-        ids[at + rows] = flat[np.repeat(begin[word] - until[:-1], n) + at]
-        yield ids, total + np.arange(len(own))
+        ids = np.empty(total[-1] + len(own) - 1, dtype=np.uint32)
+        bounds = total + np.arange(len(own))
+        ids[bounds[1:] - 1] = END_ID
+        body = np.ones(len(ids), dtype=bool)
+        body[bounds[1:] - 1] = False
+        at = np.repeat(begin[word] - until[:-1], n)
+        at += np.arange(len(at))
+        ids[body] = flat[at]
+        yield ids, bounds
 
 
 def _tokenize(path: str, vocabulary: int):
@@ -94,11 +152,11 @@ def _tokenize(path: str, vocabulary: int):
         id_type = None
         for b in batches:
             id_type, done = b.schema.field("doc_id").type, 0
-            for ids, bounds in token_ids(path, b.column("text")):
+            for ids, bounds in (x for k in range(0, len(b), TEXTS_AT_ONCE) for x in token_ids(path, b.column("text").slice(k, TEXTS_AT_ONCE))):
                 n = np.diff(bounds)
                 for k in range(0, len(n), 200):
                     part = bounds[k : k + 201]
-                    seen[:] = False
+                    seen[: len(part) - 1] = False
                     seen[np.repeat(np.arange(len(part) - 1), np.diff(part)), ids[part[0] : part[-1]]] = True
                     frequency[:vocabulary] += seen[: len(part) - 1].sum(axis=0)
                 frequency[vocabulary:] += len(n), len(ids)
