@@ -102,6 +102,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    The verdict stands beside a column that is not deterministic, so that the optimizer leaves the
+    filter above the projections: pushed below, it would repeat their expressions in every use.
+    """
     measured = quality_columns(docs)
-    return measured.where(verdict()[1]).select(*(F.col(f"`{x}`") for x in docs.columns))
+    judged = measured.select(*(F.col(f"`{x}`") for x in docs.columns), verdict()[1].alias("__q_kept"), F.monotonically_increasing_id().alias("__q_row"))
+    return judged.where(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*(F.col(f"`{x}`") for x in docs.columns))

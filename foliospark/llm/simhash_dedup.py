@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.support import components, stage_table
@@ -80,7 +80,7 @@ def walk(keys: np.ndarray, pairs: tuple[np.ndarray, ...], budget: int, skip: int
             half = len(alo) // 2
             stack.append(tuple(x[:half] for x in (alo, ahi, blo, bhi, spent, depth)))
             alo, ahi, blo, bhi, spent, depth = (x[half:] for x in (alo, ahi, blo, bhi, spent, depth))
-        small = ((ahi - alo) * (bhi - blo) <= 16) | (depth >= 64)
+        small = (ahi - alo) * (bhi - blo) <= 16
         if small.any():
             _settle(keys, alo[small], ahi[small], blo[small], bhi[small], budget, forest, accept)
             alo, ahi, blo, bhi, spent, depth = (x[~small] for x in (alo, ahi, blo, bhi, spent, depth))
@@ -88,8 +88,9 @@ def walk(keys: np.ndarray, pairs: tuple[np.ndarray, ...], budget: int, skip: int
             continue
         mid_a, mid_b = _middle(keys, alo, ahi, depth), _middle(keys, blo, bhi, depth)
         same = (alo == blo) & (ahi == bhi)
-        kids = [(alo, mid_a, blo, mid_b, spent), (mid_a, ahi, mid_b, bhi, spent), (alo, mid_a, mid_b, bhi, spent + 1)]
-        parts = [tuple(x) + (depth + 1,) for x in kids] + [tuple(x[~same] for x in (mid_a, ahi, blo, mid_b, spent + 1, depth + 1))]
+        more = spent + (depth < 64)
+        kids = [(alo, mid_a, blo, mid_b, spent), (mid_a, ahi, mid_b, bhi, spent), (alo, mid_a, mid_b, bhi, more)]
+        parts = [tuple(x) + (depth + 1,) for x in kids] + [tuple(x[~same] for x in (mid_a, ahi, blo, mid_b, more, depth + 1))]
         nxt = [np.concatenate([p[k] for p in parts]) for k in range(6)]
         live = (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & (nxt[4] <= budget)
         live &= ~((nxt[0] == nxt[2]) & (nxt[1] - nxt[0] == 1) & (nxt[3] - nxt[2] == 1))
@@ -98,9 +99,13 @@ def walk(keys: np.ndarray, pairs: tuple[np.ndarray, ...], budget: int, skip: int
 
 
 def _middle(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Where the bit at ``depth`` turns to 1 in each range: a binary search, all ranges at once."""
-    bit = np.uint64(1) << (63 - depth).astype(np.uint64)
-    a, b = lo.copy(), hi.copy()
+    """Where the bit at ``depth`` turns to 1 in each range: a binary search, all ranges at once.
+
+    Below the last bit, a range of equal keys is halved.
+    """
+    below = depth >= 64
+    bit = np.uint64(1) << np.maximum(63 - depth, 0).astype(np.uint64)
+    a, b = np.where(below, (lo + hi) >> 1, lo), np.where(below, (lo + hi) >> 1, hi)
     while (open_ := a < b).any():
         m = (a + b) >> 1
         one = (keys[np.minimum(m, len(keys) - 1)] & bit) != 0
@@ -111,20 +116,24 @@ def _middle(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray)
 
 def _settle(keys, alo, ahi, blo, bhi, budget, forest, accept) -> None:
     n, m = ahi - alo, bhi - blo
-    for k in range(0, len(alo), FRONTIER // 16):
-        s = slice(k, k + FRONTIER // 16)
+    for first in range(0, len(alo), FRONTIER // 16):
+        s = slice(first, first + FRONTIER // 16)
         each = n[s] * m[s]
         at = np.repeat(np.arange(len(each)), each)
         inner = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
         i, j = alo[s][at] + inner // m[s][at], blo[s][at] + inner % m[s][at]
         near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
         i, j = i[near], j[near]
-        if accept is not None and len(i):
-            apart = forest.roots(i) != forest.roots(j)
-            i, j = i[apart], j[apart]
-            ok = accept(i, j)
-            i, j = i[ok], j[ok]
-        forest.join(i, j)
+        if accept is None:
+            forest.join(i, j)
+            continue
+        for k in range(0, len(i), STRIDE):
+            x, y = i[k : k + STRIDE], j[k : k + STRIDE]
+            apart = forest.roots(x) != forest.roots(y)
+            x, y = x[apart], y[apart]
+            if len(x):
+                ok = accept(x, y)
+                forest.join(x[ok], y[ok])
 
 
 def _fingerprints(words: int):
@@ -258,6 +267,134 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, bucket_rows: int = B
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join_buckets(budget, block), "a long, b long")
 
 
+#: For near_dedup: routing min-hashes of a text, bins of its sketch, bits by which the fingerprints of
+#: two texts of similarity 0.8 may differ, rows of a routing key that one task takes.
+ROUTES, BINS, NEAR_BITS, BLOCK = 6, 128, 20, 4096
+_ODD = (np.random.default_rng(5).integers(1, 1 << 62, ROUTES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(routing keys, one-permutation min-hash sketch) of a text's shingle hashes; an empty bin is 0."""
+    bins = np.zeros(BINS, dtype=np.uint16)
+    if not len(h):
+        return np.zeros(0, dtype=np.uint64), bins
+    x = np.sort(((h & np.uint64(BINS - 1)) << np.uint64(57)) | (h >> np.uint64(7)))
+    at = (x >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    bins[at[first]] = np.maximum(x[first] & np.uint64(0xFFFF), np.uint64(1))
+    routes = np.array([(h * a).min() for a in _ODD], dtype=np.uint64)
+    return (routes & ~np.uint64(7)) | np.arange(ROUTES, dtype=np.uint64), bins
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, prints, keys, sketches = [], [], [], []
+            for t in b.column("text"):
+                text = t.as_py() or ""
+                node.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), 42))
+                h = hashes(shingles(text, words))
+                prints.append(fingerprint(h))
+                k, s = sketch(h)
+                keys.append(k.view(np.int64))
+                sketches.append(s.tobytes())
+            signed = lambda x: pa.array(np.array(x, dtype="<u8").view("<i8"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), signed(node), signed(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "node", "fp", "keys", "sketch"])
+
+    return run
+
+
+def _join_routes(similarity: float):
+    """Rows (key, pair, block, node, fp, sketch) sorted by key and pair -> edges (a, b) that span each group's links."""
+
+    def solve(node, block, fp, data) -> pa.RecordBatch | None:
+        order = np.lexsort((fp, block))
+        node, block, fp, data = node[order], block[order], fp[order], data[order]
+        forest = Forest(len(fp))
+
+        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            a, b = data[i], data[j]
+            filled = (a | b) != 0
+            return ((a == b) & filled).sum(axis=1) >= similarity * filled.sum(axis=1)
+
+        split = int(np.searchsorted(block, block[0], side="right"))
+        one = np.array([0])
+        if split == len(fp):
+            walk(fp, (one, one + split, one, one + split, one), NEAR_BITS, 0, forest, alike)
+        else:
+            # the two blocks' tries are each in order of fp; the walk only looks inside its ranges
+            walk(fp, (one, one + split, one + split, one + len(fp), one), NEAR_BITS, 0, forest, alike)
+        root = forest.roots(np.arange(len(fp)))
+        linked = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"]) if len(linked) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def close():
+            if sum(len(h[0]) for h in held) > 1:
+                out = solve(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+                if out is not None:
+                    yield out
+            held.clear()
+
+        for b in batches:
+            key, pair = b.column("key").to_numpy(), b.column("pair").to_numpy()
+            sketches = np.frombuffer(b"".join(x.as_py() for x in b.column("sketch")), dtype=np.uint16).reshape(len(key), BINS)
+            part = (b.column("node").to_numpy(), b.column("block").to_numpy(), b.column("fp").to_numpy().view(np.uint64), sketches)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
+                if now != (name := (key[lo], pair[lo])):
+                    yield from close()
+                    now = name
+                held.append(tuple(x[lo:hi] for x in part))
+        yield from close()
+
+    return run
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_key, node, group): near-copies of whole texts share a group.
+
+    Two texts are linked if the Jaccard similarity of their shingle sets, told from sketches of BINS
+    bins, is at least ``similarity``. Equal word sequences are collapsed first. Texts are routed by
+    ROUTES min-hashes of their shingles, of which a pair at similarity 0.8 shares one but for 0.2^ROUTES;
+    inside a route the trie walk over fingerprints finds the pairs within NEAR_BITS. Only routes that two
+    texts share are carried further. A route with more than BLOCK texts is cut into blocks by a hash, and
+    each pair of blocks is a group of its own, so its work is spread and no pair is left out.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
+    rows = stage_table(rows.mapInArrow(_sketches(words), f"doc_id {kind}, text_key long, node long, fp long, keys array<long>, sketch binary"), "sketches")
+    texts = stage_table(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")), "texts")
+    routes = texts.select("node", F.explode("keys").alias("key"))
+    shared = stage_table(routes.groupBy("key").count().where("count > 1").withColumnRenamed("count", "n"), "routes")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    member = routes.join(shared, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    member = member.withColumn("other", other).withColumn("pair", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).cast("long"))
+    wide = stage_table(member.select("key", "pair", "block", "node"), "members").join(texts.select("node", "fp", "sketch"), "node")
+    edges = wide.select("key", "pair", "block", "node", "fp", "sketch").repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_join_routes(similarity), "a long, b long")
+    tree = components(edges).withColumnRenamed("node", "linked")
+    return rows.select("doc_id", "text_key", "node").join(tree, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", "node", F.coalesce("root", "node").alias("group"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near-copies, the one with the smallest doc_id; all columns stay.
+
+    Texts without words are copies of one another. A null doc_id stays only where its group has no
+    other; of repeated rows one stays. The texts are shuffled once, for the join with the rows that stay.
+    """
+    groups = near_groups(docs, words, similarity)
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))).alias("x"))
+    stay = best.select(F.col("x.doc_id").alias("__s_id"), F.col("x.text_key").alias("__s_key"))
+    keyed = docs.withColumn("__s_hash", F.xxhash64("text"))
+    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["__s_id"]) & (keyed["__s_hash"] == stay["__s_key"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__s_hash").orderBy(F.lit(0)))
+    return found.withColumn("__s_first", first).where("__s_first = 1").select(*(F.col(f"`{x}`") for x in docs.columns))
+
+
 def _rotl(x, by: int):
     return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
 
