@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.support import SPACES, ascii_lower, text_of
+from foliospark.llm.support import SPACES, ascii_lower, stage_table, text_of
 
 
 def _key(line):
@@ -17,8 +17,9 @@ def dropped_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
 
     Only (document, hash) pairs are shuffled, never lines: two 64-bit hashes with different seeds
     stand for a key. Documents per key are counted in two steps with partial aggregates, so a line
-    that stands in a third of all documents costs one row per map task; the join back is an inner
-    sort-merge join, whose hot keys adaptive execution splits.
+    that stands in a third of all documents costs one row per map task. The common keys are staged
+    before the join back, so that their size decides how to join: sent to every task while they are
+    few, else by sort-merge, of whose hot keys adaptive execution splits the lines.
     """
     lines = (
         docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text_of()).alias("text_hash"), F.posexplode(F.split(text_of(), "\n")).alias("at", "line"))
@@ -27,7 +28,8 @@ def dropped_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
         .select("doc", "text_hash", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     common = lines.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("holder")).where(F.col("n") >= min_docs)
-    gone = lines.join(common.select("h1", "h2", "holder"), ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("holder")))
+    common = stage_table(common.select("h1", "h2", "holder"), "lines")
+    gone = lines.join(common, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("holder")))
     return gone.groupBy("doc", "text_hash").agg(F.collect_set("at").alias("gone"))
 
 
