@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.functions import wording as w
+from foliospark.sources.staging import stage_table
 
 #: Bytes of query vectors that one pass over the collection takes to every task.
 QUERY_BYTES = 64 << 20
@@ -19,21 +21,19 @@ QUERY_BYTES = 64 << 20
 def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with id, 0 and up without gaps in the given order.
 
-    A range sort, the rows of each partition counted, and the sums before it added: only one number a
-    partition reaches the driver, and no window takes all rows into one task.
+    A range sort, staged with each row's partition and place in it; the rows of each partition are
+    counted, and the sums before it joined back. Only one number a partition is sent to all tasks, and
+    no window takes all rows into one task.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
-    counts = {r[0]: r[1] for r in placed.groupBy("__part").count().collect()}
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part] = total
-        total += counts[part]
-    if not before:
-        return placed.drop("__part").withColumn("id", F.lit(None).cast("long"))
-    offset = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("__part"))
-    # monotonically_increasing_id counts from the partition's number shifted by 33 bits
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("id", (offset + place).cast("long")).drop("__part")
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the generated number is the partition's, shifted by 33 bits, plus the place
+    placed = placed.withColumn("__at", F.monotonically_increasing_id())
+    staged = stage_table(placed.select("*", F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place")).drop("__at"), "ids")
+    counts = sorted((r[0], r[1]) for r in staged.groupBy("__part").count().collect())
+    before = [0, *accumulate(n for _, n in counts)]
+    offsets = spark.createDataFrame([(p, before[k]) for k, (p, _) in enumerate(counts)], "__part long, __before long")
+    return staged.join(F.broadcast(offsets), "__part").withColumn("id", F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
 
 
 def _search(ids: np.ndarray, queries: np.ndarray, k: int):

@@ -24,11 +24,11 @@ def _title(x: str) -> str:
 _CJK = "translate(text, 'aeiou', '教学目标课')"
 
 _TOP = """
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
-c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id >= 20),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT query_id, id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM q, c),
 top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM s QUALIFY rank <= 3),
-hits AS (SELECT query_id, rank, source, left(text, 200) AS text FROM top LEFT JOIN documents ON doc_id = id)"""
+hits AS (SELECT query_id, rank, source, text FROM top LEFT JOIN documents ON doc_id = id)"""
 
 _MD = "md AS (SELECT conv_id AS source, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id)"
 _PIECES = f"{_MD}, pieces AS (SELECT source, i - 1 AS pos, {_strip('p[i]')} AS piece FROM (SELECT source, string_split(markdown, '---') AS p FROM md), unnest(range(1, len(p) + 1)) AS r(i)), chunks AS (SELECT source, pos, piece AS text FROM pieces WHERE length(piece) > 10)"
@@ -80,7 +80,8 @@ _CARDS = """cards AS (SELECT n_regionkey AS game_id, n_nationkey AS pair_id, unn
 _FLIPS = """f AS (SELECT user_id AS game_id, event_id AS "at", (event_id // 2) % 5 AS pair_id, CASE WHEN event_id % 3 = 0 THEN 'left' ELSE 'right' END AS side FROM events),
 n AS (SELECT *, row_number() OVER g - 1 AS n, lead(pair_id) OVER g AS np, lead(side) OVER g AS ns FROM f WINDOW g AS (PARTITION BY game_id ORDER BY "at", pair_id, side)),
 mv AS (SELECT game_id, n // 2 AS move, "at", pair_id = np AND side <> ns AS matched FROM n WHERE n % 2 = 0 AND np IS NOT NULL)"""
-_BLOCKS = f"""b AS (SELECT source AS file, count(*)::BIGINT AS element_count, {_strip("coalesce(string_agg(CASE WHEN doc_id % 11 <> 0 THEN text END, chr(10) || chr(10) ORDER BY doc_id), '')")} AS t FROM documents GROUP BY source),
+_BLOCKS = f"""l AS (SELECT doc_id, i - 1 AS pos, x[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)),
+b AS (SELECT doc_id AS file, count(*)::BIGINT AS element_count, {_strip("coalesce(string_agg(CASE WHEN (doc_id + pos) % 5 <> 0 THEN repeat(line, 8) END, chr(10) || chr(10) ORDER BY pos), '')")} AS t FROM l GROUP BY doc_id),
 g AS (SELECT file, element_count, CASE WHEN t = '' THEN '{w.NOTHING_READ}' ELSE t END AS t FROM b)"""
 
 _NOTICE = w.CUT_NOTICE.replace("\n\n", "' || chr(10) || chr(10) || '")
@@ -124,7 +125,7 @@ SELECT conv_id, turn, md5(CASE WHEN length(t) > 5 THEN t || chr(10) ELSE '' END
     "kb_markdown": f"WITH {_KB}, x AS (SELECT file, string_agg(markdown, '' ORDER BY pos, block) AS t FROM m GROUP BY file) SELECT replace(file, '.json', '_clean.md') AS file, md5(t) AS markdown_md5, length(t)::BIGINT AS n_chars FROM x",
     "kb_split": """WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, json_extract(props, '$.k')::BIGINT AS k FROM events)
 SELECT user_id AS file, pos, k FROM x WHERE user_id % 3 = 0 UNION ALL SELECT DISTINCT user_id, 0, -5 FROM events WHERE user_id % 3 = 1""",
-    "goals_join": f"WITH x AS (SELECT p_brand, string_agg(p_name, ' ' ORDER BY p_partkey) AS t FROM part GROUP BY p_brand) SELECT p_brand, md5({_clean('t')}) AS goals_md5 FROM x",
+    "goals_join": f"SELECT p_partkey, {_clean("concat_ws(' ', p_name, '  ' || p_type, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END)")} AS goals FROM part",
     "flatten_pages": f"WITH {_STAGES} SELECT project_id, stage_pos, point_pos, title, content, game_type FROM pg",
     "page_numbers": f"WITH {_STAGES} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY stage_pos, point_pos) AS page_no, count(*) OVER (PARTITION BY project_id) AS n_pages, title FROM pg",
     "layout_elements": f"""WITH {_ELEMENTS}, n AS (SELECT project_id, page_no, e, CASE WHEN e.type = 'heading' THEN 1 WHEN e.y = 160 AND e.type = 'text' THEN 2 WHEN e.type = 'image' THEN 3 WHEN e.type = 'game_link' THEN 4 ELSE 5 END AS o FROM l)
@@ -147,7 +148,7 @@ SELECT project_id, stage_pos, stage, md5(CASE WHEN n % 3 = 1 THEN f1 || p || chr
     "lesson_cells": "SELECT l_orderkey AS project_id, 17 + 3 * count(*) AS n_cells, count(*) + 2 AS process_rows FROM lineitem GROUP BY l_orderkey",
     "point_prefix": f"SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN '{w.DIFFICULT}' WHEN 'R' THEN '{w.KEY}' ELSE '{w.PLAIN}' END AS prefix, count(*) AS n FROM lineitem GROUP BY l_returnflag",
     "methods_join": f"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || '、' || p_type WHEN 1 THEN p_brand ELSE '{'、'.join(w.DEFAULT_METHODS)}' END AS methods FROM part",
-    "objectives_enum": "WITH x AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) SELECT p_brand, md5(string_agg('  ' || i || '. ' || p_name || chr(10), '' ORDER BY i)) AS objectives_md5 FROM x GROUP BY p_brand",
+    "objectives_enum": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '  1. ' || p_name || chr(10) || '  2. ' || p_type || chr(10) || '  3. ' || p_brand || chr(10) END AS objectives FROM part",
     "last_writer": "SELECT user_id, event_type, event_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "template_lookup": f"WITH {_TEMPLATES}, e AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN event_type ELSE '{w.DEFAULT_GAME}' END AS game_type FROM events) SELECT event_id, game_type, html IS NOT NULL AS known FROM e LEFT JOIN t USING (game_type)",
     "template_inject": f"WITH {_TEMPLATES} SELECT event_id, replace(html, '/*INJECT_DATA*/', props || CASE WHEN event_id % 2 = 0 THEN '<\\/script>' ELSE '' END) AS page FROM events LEFT JOIN t ON event_type = game_type",
@@ -158,8 +159,8 @@ SELECT project_id, stage_pos, stage, md5(CASE WHEN n % 3 = 1 THEN f1 || p || chr
 SELECT game_id, coalesce(matched_cards, 0) AS matched_cards, cards, coalesce(matched_cards = cards, false) AS won FROM k LEFT JOIN m USING (game_id)""",
     "drag_sort": """WITH l AS (SELECT DISTINCT l_partkey, CASE WHEN l_partkey % 2 = 0 THEN 'STANDARD' ELSE 'PROMO' END AS category FROM lineitem)
 SELECT l_partkey::VARCHAR AS word, category, coalesce(p_type = category, false) AS right FROM l LEFT JOIN part ON p_partkey = l_partkey""",
-    "quiz_check": """SELECT p_brand AS game_id, p_partkey AS question, [p_brand, p_type, p_name][p_partkey % 4 + 1] AS chosen, p_partkey % 4 = p_size % 3 AS right,
-  CASE WHEN p_partkey < max(p_partkey) OVER (PARTITION BY p_brand) THEN p_partkey + 1 END AS next_question FROM part""",
+    "quiz_check": """SELECT p_partkey // 50 AS game_id, p_partkey AS question, [p_brand, p_type, p_name][p_partkey % 4 + 1] AS chosen, p_partkey % 4 = p_size % 3 AS right,
+  CASE WHEN p_partkey < max(p_partkey) OVER (PARTITION BY p_partkey // 50) THEN p_partkey + 1 END AS next_question FROM part""",
     "concat_blocks": f"WITH {_BLOCKS} SELECT file, 'success' AS status, element_count, length(t)::BIGINT AS char_count, md5(t) AS text_md5 FROM g",
     "truncate_guard": f"""WITH {_BLOCKS}, c AS (SELECT file, CASE WHEN length(t) > 80000 THEN left(t, 80000) || '{_NOTICE}' ELSE t END AS t FROM g)
 SELECT 'success' AS status, file AS file_name, length(t)::BIGINT AS char_count, md5(t) AS text_md5 FROM c""",

@@ -26,10 +26,10 @@ def _md5(x):
 
 
 def _top(spark, d, k=3):
+    """Every row whose id is divisible by 100 asks, and all rows may answer."""
     e = table(spark, d, "embeddings")
-    rest = e.where("vec_id >= 20").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vectors.top_k(rest, asked, k)
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), asked, k)
 
 
 def vector_topk(spark, d):
@@ -37,7 +37,7 @@ def vector_topk(spark, d):
 
 
 def _hits(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.substring("text", 1, 200).alias("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     return _top(spark, d).join(docs, "id", "left")
 
 
@@ -222,8 +222,8 @@ def kb_split(spark, d):
 
 
 def goals_join(spark, d):
-    p = table(spark, d, "part").groupBy("p_brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("goals"))
-    return p.select("p_brand", _md5(t.clean_text(F.array_join("goals", " "))).alias("goals_md5"))
+    goals = F.array(F.col("p_name"), F.concat(F.lit("  "), "p_type"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")))
+    return table(spark, d, "part").select("p_partkey", t.clean_text(F.array_join(goals, " ")).alias("goals"))
 
 
 # -- outlines -----------------------------------------------------------------------------------
@@ -310,8 +310,8 @@ def methods_join(spark, d):
 
 
 def objectives_enum(spark, d):
-    p = table(spark, d, "part").groupBy("p_brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("items"))
-    return p.select("p_brand", _md5(lesson.number_lines(F.col("items"))).alias("objectives_md5"))
+    items = F.when(F.col("p_partkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name", "p_type", "p_brand"))
+    return table(spark, d, "part").select("p_partkey", lesson.number_lines(items).alias("objectives"))
 
 
 # -- exercises ----------------------------------------------------------------------------------
@@ -373,7 +373,7 @@ def drag_sort(spark, d):
 
 def quiz_check(spark, d):
     p = table(spark, d, "part")
-    q = p.select(F.col("p_brand").alias("game_id"), F.col("p_partkey").alias("question"), F.array("p_brand", "p_type", "p_name").alias("options"), (F.col("p_size") % 3).alias("correct_index"), (F.col("p_partkey") % 4).cast("int").alias("selected"))
+    q = p.select(F.floor(F.col("p_partkey") / 50).alias("game_id"), F.col("p_partkey").alias("question"), F.array("p_brand", "p_type", "p_name").alias("options"), (F.col("p_size") % 3).alias("correct_index"), (F.col("p_partkey") % 4).cast("int").alias("selected"))
     return games.answers(q)
 
 
@@ -381,8 +381,9 @@ def quiz_check(spark, d):
 
 
 def _blocks(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select(F.col("source").alias("file"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("block"), F.lit(1).alias("n_elements"))
+    """A file a document, whose elements are its lines, each eight times over, so that some pass the limit."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return docs.select(F.col("doc_id").alias("file"), "pos", F.when((F.col("doc_id") + F.col("pos")) % 5 != 0, F.repeat("line", 8)).alias("block"), F.lit(1).alias("n_elements"))
 
 
 def concat_blocks(spark, d):
@@ -458,8 +459,7 @@ def embed_chunks(spark, d):
 def enrich_pages(spark, d):
     pages = outline.flatten_pages(_outlines(spark, d)).withColumnRenamed("game", "interactive_game").withColumn("need_image", F.when(F.col("stage_pos") % 3 == 0, False).when(F.col("stage_pos") % 3 == 1, True))
     kinds = spark.createDataFrame([("memory_match", ""), ("quiz", "")], "game_type string, html string")
-    short = lambda s: s.str.slice(0, 40)
-    out = enrich.run(pages, kinds, enrich.Providers(complete=short, draw=lambda s: s.str.encode("utf-8")))
+    out = enrich.run(pages, kinds, enrich.Providers(complete=lambda s: s.str.upper(), draw=lambda s: s.str.encode("utf-8")))
     return out.select("project_id", "stage_pos", "point_pos", "content", "image_path", "game_url")
 
 
