@@ -19,6 +19,9 @@ from foliospark.llm.support import stage_table
 WINDOW, END_ID = 2048, 1
 #: Tokens and documents of one shard, which a task packs at a time.
 SHARD_TOKENS, SHARD_DOCS = 3_000_000, 30_000
+#: Documents of so many tokens are placed by the min-hash of one stretch of them, drawn by a hash; by that
+#: of the whole they would all lie in one range, as each holds nearly every frequent id.
+LONG, STRETCH = 4 * WINDOW, 512
 #: BM25's constants; terms of a seed that query the index; neighbours that one query ranks.
 K1, B, QUERY_TERMS, RANKED = 1.2, 0.75, 24, 64
 #: Documents whose ids are put together at once; words whose ids a Python worker remembers.
@@ -161,6 +164,10 @@ def _tokenize(path: str, vocabulary: int):
                     frequency[:vocabulary] += seen[: len(part) - 1].sum(axis=0)
                 frequency[vocabulary:] += len(n), len(ids)
                 sig = (np.minimum.reduceat(first[ids], bounds[:-1]) << 32) | np.minimum.reduceat(second[ids], bounds[:-1])
+                for k in np.flatnonzero(n >= LONG):
+                    own = ids[bounds[k] : bounds[k + 1]]
+                    at = zlib.crc32(own.tobytes()) % (len(own) - STRETCH)
+                    sig[k] = (first[own[at : at + STRETCH]].min() << 32) | second[own[at : at + STRETCH]].min()
                 data = ids.astype(kind)
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(n)), pa.array(sig), pa.array(n), packed, pa.nulls(len(n), pa.binary())], ["doc_id", "sig", "n", "ids", "df"])
