@@ -34,7 +34,12 @@ def route_documents(docs: DataFrame) -> DataFrame:
     v = docs.select("file", "pos", F.try_parse_json("doc").alias("v"), "doc")
     layer = jsonx.get(F.col("v"), "$.layer", default=F.lit(w.UNKNOWN_LAYER))
     v = v.withColumn("layer", layer)
-    piece = lambda path: F.get_json_object("doc", path)  # noqa: E731  the text as it stands, keys in their own order
+
+    def piece(path):
+        """The JSON text as it stands, keys in their own order; a string keeps its quotes."""
+        value = F.try_variant_get("v", path, "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.to_json(value)).otherwise(F.get_json_object("doc", path))
+
     known = ("textbook", "resource", "syllabus", "hotspot")
     keep = ("file", "pos", "block", "heading", "body")
 
