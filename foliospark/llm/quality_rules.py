@@ -31,6 +31,15 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def _pin(value: Column) -> Column:
+    """The value, in a column that the optimizer takes for not deterministic.
+
+    It then neither repeats the expression in every use nor moves a filter on it below the projection;
+    inside a lambda, such repeats would be computed for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def quality_columns(docs: DataFrame, text: str = "text", prefix: str = "__q_") -> DataFrame:
     """Adds the measures of each row's text under ``prefix``; every other column stays.
 
@@ -42,7 +51,7 @@ def quality_columns(docs: DataFrame, text: str = "text", prefix: str = "__q_") -
     c = lambda name: F.col(p + name)
     stop = [*dict.fromkeys(x for w in STOP_WORDS for x in (w, w.capitalize(), w.upper()))]
     step = docs.withColumn(p + "text", text_of(text))
-    step = step.withColumns({p + "words": split_words(c("text")), p + "lines": F.filter(F.split(c("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")})
+    step = step.withColumns({p + "words": _pin(split_words(c("text"))), p + "lines": F.filter(F.split(c("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")})
     step = step.withColumns({
         p + "n_words": F.size(c("words")).cast("long"),
         p + "word_chars": F.length(F.translate(c("text"), SPACES, "")).cast("long"),
@@ -53,18 +62,18 @@ def quality_columns(docs: DataFrame, text: str = "text", prefix: str = "__q_") -
         p + "n_bullets": F.size(F.filter(c("lines"), lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).cast("long"),
         p + "n_ellipses": F.size(F.filter(c("lines"), lambda x: x.endswith("...") | x.endswith("…"))).cast("long"),
         p + "n_stop": F.size(F.filter(c("words"), lambda x: x.isin(stop))).cast("long"),
-        p + "hashes": F.when(F.size(c("words")) >= 3, F.transform(F.sequence(F.lit(0), F.size(c("words")) - 3), lambda i: F.xxhash64(c("words")[i], c("words")[i + 1], c("words")[i + 2]))),
+        p + "hashes": _pin(F.when(F.size(c("words")) >= 3, F.transform(F.sequence(F.lit(0), F.size(c("words")) - 3), lambda i: F.xxhash64(c("words")[i], c("words")[i + 1], c("words")[i + 2])))),
     })
-    step = step.withColumn(p + "sorted", F.when(F.size(F.array_distinct(c("hashes"))) < F.size(c("hashes")), F.sort_array(F.transform(c("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    step = step.withColumn(p + "sorted", _pin(F.when(F.size(F.array_distinct(c("hashes"))) < F.size(c("hashes")), F.sort_array(F.transform(c("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
     twice = F.filter(c("sorted"), lambda x, k: ((k > 0) & (F.get(c("sorted"), k - 1)["h"] == x["h"])) | ((k < F.size(c("sorted")) - 1) & (F.get(c("sorted"), k + 1)["h"] == x["h"])))
-    step = step.withColumn(p + "places", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    step = step.withColumn(p + "places", _pin(F.sort_array(F.transform(twice, lambda x: x["i"]))))
     covered = F.aggregate(
         c("places"),
         F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
         lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    step = step.withColumn(p + "n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    step = step.withColumn(p + "n_repeat_words", _pin(F.coalesce(covered, F.lit(0)).cast("long")))
     return step.drop(*(p + x for x in ("text", "words", "lines", "hashes", "sorted", "places")))
 
 
@@ -98,15 +107,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
     measured = quality_columns(docs.select("doc_id", "text"))
     failed, kept = verdict()
-    return measured.select("doc_id", *(F.col(f"__q_{x}").alias(x) for x in BASE), failed.alias("base_failed"), kept.alias("kept"))
+    return measured.select("doc_id", *(F.col(f"__q_{x}").alias(x) for x in BASE), _pin(failed).alias("base_failed"), _pin(kept).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
-
-    The verdict stands beside a column that is not deterministic, so that the optimizer leaves the
-    filter above the projections: pushed below, it would repeat their expressions in every use.
-    """
+    """The rows of ``docs`` that the rules keep, with all their columns."""
     measured = quality_columns(docs)
-    judged = measured.select(*(F.col(f"`{x}`") for x in docs.columns), verdict()[1].alias("__q_kept"), F.monotonically_increasing_id().alias("__q_row"))
-    return judged.where(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*(F.col(f"`{x}`") for x in docs.columns))
+    judged = measured.select(*(F.col(f"`{x}`") for x in docs.columns), _pin(verdict()[1]).alias("__q_kept"))
+    return judged.where("__q_kept").select(*(F.col(f"`{x}`") for x in docs.columns))
