@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,18 @@ def lookup(requests: DataFrame, users: DataFrame) -> DataFrame:
     return requests.join(known, "username", "left").withColumn("found", F.coalesce("__known", F.lit(False))).drop("__known")
 
 
+def login(requests: DataFrame, users: DataFrame, verify: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
+    """``requests(username, password)`` with allowed: there is such a user and ``verify(password, hash)`` holds."""
+
+    def check(password: pd.Series, hashed: pd.Series) -> pd.Series:
+        return verify(password, hashed)
+
+    known = users.select("username", "hashed_password").dropDuplicates(["username"])
+    joined = requests.join(known, "username", "left")
+    ok = F.when(F.col("hashed_password").isNotNull() & F.col("password").isNotNull(), F.pandas_udf(check, "boolean")("password", "hashed_password"))
+    return joined.select(*(F.col(f"`{c}`") for c in requests.columns), F.coalesce(ok, F.lit(False)).alias("allowed"))
+
+
 def register(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Requests whose name is free, one of each name, to be appended to the users; null names never are."""
     fresh = requests.where("username is not null").dropDuplicates(["username"])

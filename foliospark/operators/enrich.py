@@ -34,7 +34,8 @@ class Providers:
     """Functions over pandas series that stand for outside services; each may return null for a failure.
 
     ``complete`` and ``draw`` take prompts; ``read_image`` and ``read_speech`` take bytes, ``partition``
-    takes bytes and gives a list of (kind, text, html), ``pages`` gives a list of pictures.
+    takes bytes and gives a list of (kind, text, html), ``convert`` takes a deck and gives a PDF, of which
+    ``pages`` gives a list of pictures.
     """
 
     embed: Callable = hash_embed
@@ -43,6 +44,7 @@ class Providers:
     read_image: Callable | None = None
     read_speech: Callable | None = None
     partition: Callable | None = None
+    convert: Callable | None = None
     pages: Callable | None = None
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.functions import wording as w
+from foliospark.operators.enrich import Providers, call
 
 
 def accept(files: DataFrame) -> DataFrame:
@@ -20,6 +21,26 @@ def element_block(kind, text, html):
     return F.when(kind == "Table", table).when(kind.isin("Title", "NarrativeText", "Text", "ListItem"), text)
 
 
+def media_blocks(files: DataFrame, providers: Providers) -> DataFrame:
+    """(file, pos, block, n_elements) of accepted images and videos, through their providers.
+
+    A text is captioned and counts as one element; a failure leaves its own block and counts as none.
+    """
+    read = F.when(F.col("route") == "image", call(providers.read_image, "string", F.col("content"))).when(F.col("route") == "video", call(providers.read_speech, "string", F.col("content")))
+    rows = files.where("route in ('image', 'video')").withColumn("__text", read)
+    caption = F.when(F.col("route") == "image", F.lit(w.OCR_CAPTION)).otherwise(F.lit(w.SPEECH_CAPTION))
+    failed = F.when(F.col("route") == "image", t.fill(w.OCR_FAILED, F.lit("no text"))).otherwise(t.fill(w.SPEECH_FAILED, F.lit("no text")))
+    block = F.when(F.col("__text").isNull(), F.concat(F.lit("\n"), failed, F.lit("\n"))).otherwise(F.concat(F.lit("\n"), caption, F.lit("\n"), F.col("__text"), F.lit("\n")))
+    return rows.select(F.col("name").alias("file"), F.lit(0).alias("pos"), block.alias("block"), F.when(F.col("__text").isNull(), 0).otherwise(1).alias("n_elements"))
+
+
+def document_blocks(files: DataFrame, providers: Providers) -> DataFrame:
+    """(file, pos, block, n_elements) of accepted documents through the partition provider; all elements count."""
+    parts = call(providers.partition, "array<struct<kind:string,text:string,html:string>>", F.col("content"))
+    rows = files.where("route = 'document'").select(F.col("name").alias("file"), F.posexplode(parts).alias("pos", "e"))
+    return rows.select("file", "pos", element_block(F.col("e.kind"), F.col("e.text"), F.col("e.html")).alias("block"), F.lit(1).alias("n_elements"))
+
+
 def sheet_row(*cells):
     return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(c.cast("string"), F.lit("")) for c in cells)), F.lit(" |"))
 

@@ -14,8 +14,8 @@ from foliospark.functions import text as t
 from foliospark.functions import wording as w
 from foliospark.sources.staging import stage_table
 
-#: Bytes of query vectors that one pass over the collection takes to every task.
-QUERY_BYTES = 64 << 20
+#: Bytes of query vectors that one pass over the collection takes to every task, and scores held at once.
+QUERY_BYTES, SCORES = 8 << 20, 1 << 22
 
 
 def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
@@ -38,7 +38,7 @@ def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
 
 def _search(ids: np.ndarray, queries: np.ndarray, k: int):
     """Arrow batches of (id, vector) -> the best k of each batch for every query."""
-    norms = np.linalg.norm(queries, axis=1)
+    norms = np.linalg.norm(queries, axis=1)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -46,15 +46,16 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int):
             if not len(b):
                 continue
             m = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                score = (queries @ m.T) / (norms[:, None] * np.linalg.norm(m, axis=1)[None, :])
-            score = np.where(np.isfinite(score), score, -2.0)
-            key = b.column("id").to_numpy()
-            for q in range(len(ids)):
+            key, length = b.column("id").to_numpy(), np.linalg.norm(m, axis=1)[None, :]
+            step = max(1, SCORES // len(b))
+            for q in range(0, len(ids), step):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = (queries[q : q + step] @ m.T) / (norms[q : q + step] * length)
+                score[~np.isfinite(score)] = -2.0
                 # all that tie with the k-th at six places stay, so that ties are cut by id later
-                cut = np.partition(score[q], -k)[-k] - 1e-6 if score.shape[1] > k else -2.0
-                best = np.flatnonzero((score[q] >= cut) & (score[q] > -2.0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[q])), pa.array(key[best]), pa.array(score[q][best])], ["query_id", "id", "score"])
+                cut = np.partition(score, -k, axis=1)[:, -k, None] - 1e-6 if score.shape[1] > k else -2.0
+                asked, row = np.nonzero((score >= cut) & (score > -2.0))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q + asked]), pa.array(key[row]), pa.array(score[asked, row])], ["query_id", "id", "score"])
 
     return run
 
@@ -62,34 +63,32 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int):
 def top_k(collection: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rank, id, score): the exact k nearest by cosine, rounded to 6 places, ties by id.
 
-    ``collection`` has id and vector, ``queries`` has query_id and vector. Queries are taken to the
-    collection in blocks of at most QUERY_BYTES; a task keeps k rows a batch and query, so the shuffle
-    holds k rows per query and task whatever the collection's size. Vectors without length are skipped.
+    ``collection`` has id and vector, ``queries`` has query_id and vector. Queries stream to the driver and
+    are taken to the collection in blocks of at most QUERY_BYTES, one pass each; with more than one
+    block, each one's result is staged before the next is read. A task keeps k rows a batch and query,
+    so the shuffle does not grow with the vectors. Vectors without length are skipped.
     """
-    spark = collection.sparkSession
-    parts = []
-    ids: list[int] = []
-    held: list[list[float]] = []
     rows = collection.select("id", "vector")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
 
-    def close():
-        if ids:
-            block = _search(np.array(ids), np.array(held, dtype=np.float64), k)
-            parts.append(rows.mapInArrow(block, "query_id long, id long, score double"))
-        ids.clear(), held.clear()
+    def solve(block: list) -> DataFrame:
+        search = _search(np.array([q[0] for q in block], dtype=np.int64), np.array([q[1] for q in block], dtype=np.float64), k)
+        found = rows.mapInArrow(search, "query_id long, id long, score double").select("query_id", "id", F.round("score", 6).alias("score"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
+    done: list[DataFrame] = []
+    block: list = []
     for q in queries.where("vector is not null").select("query_id", "vector").toLocalIterator(prefetchPartitions=True):
-        ids.append(q[0])
-        held.append(q[1])
-        if len(held) * len(q[1]) * 8 >= QUERY_BYTES:
-            close()
-    close()
-    found = parts[0] if parts else spark.createDataFrame([], "query_id long, id long, score double")
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    score = F.round("score", 6)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        if block and (len(block) + 1) * len(q[1]) * 8 > QUERY_BYTES:
+            done.append(stage_table(solve(block), "hits"))
+            block = []
+        block.append(q)
+    if not block:
+        return collection.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    out = solve(block)
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def evidence(hits: DataFrame) -> DataFrame:

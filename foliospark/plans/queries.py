@@ -9,6 +9,7 @@ from foliospark.functions import jsonx
 from foliospark.functions import text as t
 from foliospark.functions import wording as w
 from foliospark.operators import accounts, enrich, games, ingest, kb, layout, lesson, outline, retention, vectors
+from foliospark.sources import office_write
 
 #: Five CJK characters that stand for vowels where a query needs text beyond Latin-1.
 CJK = "教学目标课"
@@ -463,6 +464,16 @@ def enrich_pages(spark, d):
     return out.select("project_id", "stage_pos", "point_pos", "content", "image_path", "game_url")
 
 
+def deck_files(spark, d):
+    files = office_write.presentations(layout.decks(layout.elements(_pages(spark, d))))
+    return files.select("project_id", "name", F.length("content").cast("long").alias("n_bytes"))
+
+
+def lesson_files(spark, d):
+    files = office_write.lesson_documents(lesson.cells(_outlines(spark, d)))
+    return files.select("project_id", "name", F.length("content").cast("long").alias("n_bytes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -471,6 +482,6 @@ QUERIES = {
         leaf_text, kb_route, kb_markdown, kb_split, goals_join, flatten_pages, page_numbers, layout_elements, layout_images, layout_render, layout_decks,
         key_points, lesson_process, lesson_info, lesson_cells, point_prefix, methods_join, objectives_enum, last_writer, template_lookup, template_inject,
         memory_cards, memory_match, memory_flips, memory_progress, drag_sort, quiz_check, concat_blocks, truncate_guard, element_filter, sheet_markdown,
-        retention_expired, token_expiry, user_lookup, register_new, owners_gone, embed_chunks, enrich_pages,
+        retention_expired, token_expiry, user_lookup, register_new, owners_gone, embed_chunks, enrich_pages, deck_files, lesson_files,
     )
 }

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import wording as w
-from foliospark.operators import accounts, enrich, games, ingest, kb, layout, lesson, outline, retention, vectors
-from foliospark.sources import folders, office, sinks
+from foliospark.operators import accounts, enrich, export, games, ingest, kb, layout, lesson, outline, retention, vectors
+from foliospark.sources import folders, office, office_write, sinks
 from foliospark.streaming import ingest as stream
 
 
@@ -95,7 +95,7 @@ def test_kb(spark, tmp_path):
     ])
 
 
-def test_dense_ids_and_top_k(spark):
+def test_dense_ids_and_top_k(spark, monkeypatch):
     rows = spark.range(1000).selectExpr("id * 7 % 1000 as k").repartition(7)
     got = vectors.dense_ids(rows, "k").collect()
     assert sorted((r.id, r.k) for r in got) == [(k, k) for k in range(1000)]
@@ -105,6 +105,8 @@ def test_dense_ids_and_top_k(spark):
     got = {(r.query_id, r.rank): (r.id, r.score) for r in vectors.top_k(space, asked, 4).collect()}
     assert [got[1, k][0] for k in (1, 2, 3, 4)] == [0, 1, 2, 3] and [got[2, k][0] for k in (1, 2, 3, 4)] == [5, 6, 7, 0]
     assert len(got) == 8 and vectors.top_k(space, asked.limit(0)).collect() == []
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 16)
+    assert sorted(vectors.top_k(space, asked, 4).collect()) == sorted((q, r, *v) for (q, r), v in got.items())
     hits = spark.createDataFrame([(1, 2, None, "b"), (1, 1, "s", None)], "query_id long, rank int, source string, text string")
     assert vectors.evidence(hits).first().evidence == f"【来源: s】\n\n\n【来源: {w.EVIDENCE_SOURCE}】\nb"
 
@@ -217,3 +219,39 @@ def test_sheet_text(spark, name):
     rows = spark.createDataFrame([(name, 1, None), (name, 0, "x")], "sheet string, k int, v string")
     got = ingest.sheet_text(rows, ["k", "v"], "k").first()
     assert got.markdown == f"\n[📊 表格：{name}]\n| k | v |\n| --- | --- |\n| 0 | x |\n| 1 |  |\n" and got.n_rows == 2
+
+
+def test_exports(spark, tmp_path):
+    pages = spark.createDataFrame([(1, 1, 2, "Title <1>", "a\nb & c\x01", "i.png", "/g"), (1, 2, 2, "Second", "d", "", "")], "project_id long, page_no int, n_pages int, title string, content string, image_path string, game_url string")
+    files = office_write.presentations(layout.decks(layout.elements(pages)), "http://host")
+    plans = office_write.lesson_documents(lesson.cells(outlines(spark, {"syllabus_content": STAGES})))
+    assert sinks.write_files(files.unionByName(plans), str(tmp_path)) == 2
+    spark.dataSource.register(office.OfficeSource)
+    rows = spark.read.format("office").load(str(tmp_path)).sort("file", "pos").collect()
+    deck = [(r.kind, r.text) for r in rows if r.file.endswith(".pptx")]
+    assert deck == [("Title", "Title <1>"), ("NarrativeText", "a\nb & c"), ("NarrativeText", w.GAME_LINK), ("NarrativeText", "1 / 2"), ("Title", "Second"), ("NarrativeText", "d"), ("NarrativeText", "2 / 2")]
+    plan = [r for r in rows if r.file.endswith(".docx")]
+    assert plan[0].kind == "Title" and [r.kind for r in plan[1:]] == ["Table"] * 4
+    tools = enrich.Providers(convert=lambda s: s, pages=lambda s: s.map(lambda b: [b[:2], b[:2]]))
+    pdfs = export.to_pdf(files, tools)
+    got = export.response(pdfs, export.previews(pdfs, tools)).first()
+    assert got.download_url_pdf == "/static/exports/presentation_1.pdf" and got.preview_images == ["/static/exports/preview_1_1.png", "/static/exports/preview_1_2.png"]
+    none = export.to_pdf(files, enrich.Providers())
+    got = export.response(none, export.previews(none, enrich.Providers())).first()
+    assert got.download_url_pdf is None and got.preview_images == []
+
+
+def test_providers_of_ingest(spark):
+    files = ingest.accept(spark.createDataFrame([("a.png", b"x"), ("b.mp4", b"y"), ("c.pdf", b"z")], "name string, content binary"))
+    tools = enrich.Providers(read_image=lambda s: s.map(lambda b: "seen"), partition=lambda s: s.map(lambda b: [{"kind": "Title", "text": "T", "html": None}, {"kind": "Image", "text": "no", "html": None}, {"kind": "Table", "text": "t", "html": "<table/>"}]))
+    got = {r.file: r for r in ingest.parse_results(ingest.media_blocks(files, tools).unionByName(ingest.document_blocks(files, tools))).collect()}
+    assert got["a.png"].text == f"{w.OCR_CAPTION}\nseen" and got["a.png"].element_count == 1
+    assert got["b.mp4"].text == w.SPEECH_FAILED.format("no text") and got["b.mp4"].element_count == 0
+    assert got["c.pdf"].text == f"T\n\n\n{w.TABLE_CAPTION}\n<table/>" and got["c.pdf"].element_count == 3
+
+
+def test_login(spark):
+    users = spark.createDataFrame([("a", "h1"), ("b", None)], "username string, hashed_password string")
+    asked = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("z", "1"), (None, None)], "username string, password string")
+    got = accounts.login(asked, users, lambda p, h: "h" + p == h).collect()
+    assert sorted((r.username or "", r.password or "") for r in got if r.allowed) == [("a", "1")] and len(got) == 5
