@@ -53,6 +53,21 @@ def sheet_text(rows: DataFrame, columns: list[str], order: str, sheet: str = "sh
     return made.select(sheet, F.concat(F.lit("\n"), t.fill(w.SHEET_CAPTION, F.col(sheet)), F.lit("\n" + head), "body", F.lit("\n")).alias("markdown"), "n_rows")
 
 
+def workbook_blocks(cells: DataFrame) -> DataFrame:
+    """(file, pos, block, n_elements) from a workbook's cells (file, sheet, row, col, text), a block a sheet.
+
+    Row 0 is the header; missing cells are empty, and rows below it count as elements.
+    """
+    sheet = ["file", "sheet"]
+    wide = cells.groupBy(*sheet).agg((F.max("col") + 1).alias("width"), F.min("pos").alias("pos"))
+    rows = cells.groupBy(*sheet, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))).alias("by_col"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.coalesce(F.try_element_at("by_col", k), F.lit(""))), " | ")
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("width")))
+    text = F.concat(F.lit("| "), line, F.lit(" |"), F.when(F.col("row") == 0, rule).otherwise(F.lit("")))
+    made = rows.join(wide, sheet).groupBy(*sheet, "pos").agg(t.join_in_order(text, F.col("row"), "\n").alias("body"), F.count_if(F.col("row") > 0).alias("n_elements"))
+    return made.select("file", "pos", F.concat(F.lit("\n"), t.fill(w.SHEET_CAPTION, F.col("sheet")), F.lit("\n"), "body", F.lit("\n")).alias("block"), F.col("n_elements").cast("int").alias("n_elements"))
+
+
 def parse_results(blocks: DataFrame, limit: int = w.MAX_CHARS) -> DataFrame:
     """(file, pos, block, n_elements) -> (file, status, text, element_count, char_count).
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import jsonx
 from foliospark.functions import text as t
 from foliospark.functions import wording as w
-from foliospark.operators import accounts, enrich, games, ingest, kb, layout, lesson, outline, retention, vectors
+from foliospark.operators import accounts, enrich, games, ingest, kb, layout, lesson, outline, retention, retrieval, vectors
 from foliospark.sources import office_write
+from foliospark.sources.staging import stage_table
 
 #: Five CJK characters that stand for vowels where a query needs text beyond Latin-1.
 CJK = "教学目标课"
@@ -464,6 +467,16 @@ def enrich_pages(spark, d):
     return out.select("project_id", "stage_pos", "point_pos", "content", "image_path", "game_url")
 
 
+def outline_replies(spark, d):
+    """Every conversation's first turn asks; a stand-in model answers with what it was asked."""
+    c = table(spark, d, "conversations")
+    requests = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("topic"), F.when(F.col("conv_id") % 2 == 0, F.col("role")).alias("outside"))
+    collection = stage_table(embed_chunks(spark, d), "collection")
+    answer = lambda s: s.map(lambda x: "Sure:\n```json\n" + json.dumps({"outline_data": {"asked": len(x)}}) + "\n```")
+    out = retrieval.outline(requests, collection, enrich.Providers(complete=answer))
+    return out.select("query_id", F.get_json_object("outline", "$.outline_data.asked").cast("long").alias("asked"), "error")
+
+
 def deck_files(spark, d):
     files = office_write.presentations(layout.decks(layout.elements(_pages(spark, d))))
     return files.select("project_id", "name", F.length("content").cast("long").alias("n_bytes"))
@@ -482,6 +495,6 @@ QUERIES = {
         leaf_text, kb_route, kb_markdown, kb_split, goals_join, flatten_pages, page_numbers, layout_elements, layout_images, layout_render, layout_decks,
         key_points, lesson_process, lesson_info, lesson_cells, point_prefix, methods_join, objectives_enum, last_writer, template_lookup, template_inject,
         memory_cards, memory_match, memory_flips, memory_progress, drag_sort, quiz_check, concat_blocks, truncate_guard, element_filter, sheet_markdown,
-        retention_expired, token_expiry, user_lookup, register_new, owners_gone, embed_chunks, enrich_pages, deck_files, lesson_files,
+        retention_expired, token_expiry, user_lookup, register_new, owners_gone, embed_chunks, enrich_pages, outline_replies, deck_files, lesson_files,
     )
 }

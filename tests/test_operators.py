@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import wording as w
-from foliospark.operators import accounts, enrich, export, games, ingest, kb, layout, lesson, outline, retention, vectors
+from foliospark.operators import accounts, enrich, export, games, ingest, kb, layout, lesson, outline, retention, retrieval, vectors
 from foliospark.sources import folders, office, office_write, sinks
 from foliospark.streaming import ingest as stream
 
@@ -255,3 +255,23 @@ def test_login(spark):
     asked = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("z", "1"), (None, None)], "username string, password string")
     got = accounts.login(asked, users, lambda p, h: "h" + p == h).collect()
     assert sorted((r.username or "", r.password or "") for r in got if r.allowed) == [("a", "1")] and len(got) == 5
+
+
+def test_workbook_blocks(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx")
+    spark.dataSource.register(office.OfficeSource)
+    got = ingest.parse_results(ingest.workbook_blocks(spark.read.format("office").load(str(tmp_path)))).first()
+    empty = " | ".join([""] * 27)
+    assert got.text.startswith(f"[📊 表格：S1]\n| name | {empty} |\n|" + " --- |" * 28 + "\n| alice |")
+    assert got.text.endswith("[📊 表格：S2]\n|  | in |") and got.element_count == 2
+
+
+def test_retrieval(spark):
+    requests = spark.createDataFrame([(1, "alpha beta", "given"), (2, None, None)], "query_id long, topic string, outside string")
+    chunks = spark.createDataFrame([(0, "alpha beta", "s0"), (1, "gamma delta", "s1")], "id long, text string, source string")
+    tools = enrich.Providers(complete=lambda s: s.map(lambda x: '{"outline_data": {}}' if "given" in x else "no"))
+    collection = chunks.withColumn("vector", enrich.call(tools.embed, "array<double>", F.col("text")))
+    got = {r.query_id: r.evidence for r in retrieval.with_evidence(requests, collection, tools, 1).collect()}
+    assert got == {1: f"{w.OUTSIDE_LABEL}\ngiven\n\n{w.CLOUD_LABEL}\n【来源: s0】\nalpha beta\n\n", 2: ""}
+    replies = {r.query_id: (r.outline, r.error is None) for r in retrieval.outline(requests, None, tools).collect()}
+    assert replies == {1: ('{"outline_data":{}}', True), 2: (None, False)}
