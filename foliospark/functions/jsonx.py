@@ -22,9 +22,9 @@ def tolerant(text: Column) -> Column:
     The reply without fences is parsed; else what lies from its first to its last brace. Characters
     of the fence are stripped as a set, so a bare ``null`` loses its first letter and is no JSON.
     """
-    bare = strip(F.btrim(strip(text), F.lit("`json")))
+    bare = strip(F.btrim(strip(text), F.lit(w.FENCE)))
     whole = F.try_parse_json(bare)
-    span = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    span = F.regexp_extract(bare, w.OBJECT_SPAN, 0)
     inner = F.try_parse_json(F.when(span != "", span))
     value = F.when(whole.isNotNull(), F.to_json(whole)).when(inner.isNotNull(), F.to_json(inner))
     error = F.when(whole.isNotNull() | inner.isNotNull(), F.lit(None)).when(span == "", F.lit(NOT_OBJECT)).otherwise(F.lit(NOT_JSON))
@@ -69,7 +69,7 @@ def mine_game(description: Column, game: Column) -> tuple[Column, Column]:
     The span runs from the first brace to the first closing brace after the key; if it is no JSON,
     both stay as they are, else every occurrence of it becomes a marker.
     """
-    span = F.regexp_extract(description, r'\{[\s\S]*?"game_type"[\s\S]*?\}', 0)
+    span = F.regexp_extract(description, w.GAME_SPAN, 0)
     mined = F.try_parse_json(F.when(span != "", span))
     use = ~truthy(game) & F.coalesce(description.contains(w.GAME_KEY), F.lit(False)) & mined.isNotNull()
     return F.when(use, mined).otherwise(game), F.when(use, F.replace(description, span, F.lit(w.GAME_LOADED))).otherwise(description)

@@ -40,4 +40,33 @@ DIFFICULT, KEY, PLAIN = "🔥[难点] ", "⭐[重点] ", "🔸 "
 HOMEWORK = "结合本节课重点，完成课后相关练习，并进行复盘总结。"
 INTERACTION = "讲授与演示"
 KEPT_FILES, KEPT_HOURS, TOKEN_MINUTES = ("template.pptx", ".gitkeep"), 24, 1440
+# Element: font size, bold, colour, x, y, width, height.
+HEADING_LOOK = (40, True, "#1A202C", 80, 60, 1120, 80)
+BODY_LOOK, BODY_WIDTH_BESIDE_IMAGE = (22, False, "#4A5568", 80, 160, 1120, 450), 600
+IMAGE_LOOK = (None, False, None, 750, 160, 450, 450)
+GAME_LOOK = (18, True, "#0070C0", 80, 620, 400, 50)
+NUMBER_LOOK = (14, False, "#A0AEC0", 1150, 680, 100, 30)
+
+MINUTES = "{0} 分钟"
+INTENT = "【互动形式】\n{0}\n\n【时间安排】\n{1} 分钟"
+GOALS = "教学目标：\n{0}\n重点：{1}\n难点：{2}"
+# Labels of the lesson tables: table, row, column, text.
+LESSON_LABELS = (
+    (1, 0, 0, "教学基本信息"),
+    (1, 1, 0, "课题"),
+    (1, 2, 0, "授课对象"),
+    (1, 2, 2, "课程时长"),
+    (1, 3, 0, "教学方法"),
+    (2, 0, 0, "教学目标及教学重点、难点"),
+    (3, 0, 0, "教学过程与课堂活动设计"),
+    (3, 1, 0, "教学环节"),
+    (3, 1, 1, "主要教学活动与内容"),
+    (3, 1, 2, "意图及互动形式"),
+    (4, 0, 0, "课后作业及拓展延伸"),
+)
+
+# Patterns: a game inside a description, and an object inside a reply.
+GAME_SPAN = r'\{[\s\S]*?"game_type"[\s\S]*?\}'
+OBJECT_SPAN = r"(?s)\{.*\}"
+FENCE = "`json"
 # End of the fixed values.
