@@ -269,19 +269,22 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, bucket_rows: int = B
 
 #: For near_dedup: routing min-hashes of a text, bins of its sketch, bits by which the fingerprints of
 #: two texts of similarity 0.8 may differ, rows of a routing key that one task takes.
-ROUTES, BINS, NEAR_BITS, BLOCK = 6, 128, 20, 4096
+ROUTES, BINS, NEAR_BITS, BLOCK = 6, 512, 20, 4096
+#: What a sketch may fall short of the similarity, so that its error loses no pair.
+MARGIN = 0.02
+_BIN_BITS = BINS.bit_length() - 1
 _ODD = (np.random.default_rng(5).integers(1, 1 << 62, ROUTES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(routing keys, one-permutation min-hash sketch) of a text's shingle hashes; an empty bin is 0."""
-    bins = np.zeros(BINS, dtype=np.uint16)
+    bins = np.zeros(BINS, dtype=np.uint8)
     if not len(h):
         return np.zeros(0, dtype=np.uint64), bins
-    x = np.sort(((h & np.uint64(BINS - 1)) << np.uint64(57)) | (h >> np.uint64(7)))
-    at = (x >> np.uint64(57)).astype(np.int64)
+    x = np.sort(((h & np.uint64(BINS - 1)) << np.uint64(64 - _BIN_BITS)) | (h >> np.uint64(_BIN_BITS)))
+    at = (x >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    bins[at[first]] = np.maximum(x[first] & np.uint64(0xFFFF), np.uint64(1))
+    bins[at[first]] = np.maximum(x[first] & np.uint64(0xFF), np.uint64(1))
     routes = np.array([(h * a).min() for a in _ODD], dtype=np.uint64)
     return (routes & ~np.uint64(7)) | np.arange(ROUTES, dtype=np.uint64), bins
 
@@ -315,7 +318,7 @@ def _join_routes(similarity: float):
         def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             a, b = data[i], data[j]
             filled = (a | b) != 0
-            return ((a == b) & filled).sum(axis=1) >= similarity * filled.sum(axis=1)
+            return ((a == b) & filled).sum(axis=1) >= (similarity - MARGIN) * filled.sum(axis=1)
 
         split = int(np.searchsorted(block, block[0], side="right"))
         one = np.array([0])
@@ -341,7 +344,7 @@ def _join_routes(similarity: float):
 
         for b in batches:
             key, pair = b.column("key").to_numpy(), b.column("pair").to_numpy()
-            sketches = np.frombuffer(b"".join(x.as_py() for x in b.column("sketch")), dtype=np.uint16).reshape(len(key), BINS)
+            sketches = np.frombuffer(b"".join(x.as_py() for x in b.column("sketch")), dtype=np.uint8).reshape(len(key), BINS)
             part = (b.column("node").to_numpy(), b.column("block").to_numpy(), b.column("fp").to_numpy().view(np.uint64), sketches)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
@@ -358,7 +361,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """(doc_id, text_key, node, group): near-copies of whole texts share a group.
 
     Two texts are linked if the Jaccard similarity of their shingle sets, told from sketches of BINS
-    bins, is at least ``similarity``. Equal word sequences are collapsed first. Texts are routed by
+    bins, is at least ``similarity``, but for MARGIN. Equal word sequences are collapsed first. Texts are routed by
     ROUTES min-hashes of their shingles, of which a pair at similarity 0.8 shares one but for 0.2^ROUTES;
     inside a route the trie walk over fingerprints finds the pairs within NEAR_BITS. Only routes that two
     texts share are carried further. A route with more than BLOCK texts is cut into blocks by a hash, and
