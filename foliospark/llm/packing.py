@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +21,14 @@ from foliospark.llm.support import stage_table
 
 WINDOW, END_ID = 2048, 1
 #: Tokens and documents of one shard, which a task packs at a time.
-SHARD_TOKENS, SHARD_DOCS = 3_000_000, 30_000
+SHARD_TOKENS, SHARD_DOCS = 2_000_000, 30_000
 #: Documents of so many tokens are placed by the min-hash of one stretch of them, drawn by a hash; by that
 #: of the whole they would all lie in one range, as each holds nearly every frequent id.
 LONG, STRETCH = 4 * WINDOW, 512
 #: BM25's constants; terms of a seed that query the index; neighbours that one query ranks.
 K1, B, QUERY_TERMS, RANKED = 1.2, 0.75, 24, 64
 #: Documents whose ids are put together at once; words whose ids a Python worker remembers.
-ROWS_AT_ONCE, WORDS_KEPT = 1_000, 250_000
+ROWS_AT_ONCE, WORDS_KEPT = 1_000, 300_000
 #: Texts whose words are looked up at once.
 TEXTS_AT_ONCE = 10_000
 
@@ -106,9 +109,9 @@ def _word_ids(path: str, chunks: list[str]) -> list[bytes]:
         out[k] = simple[base] + simple[tail] if tail else simple[base]
     for k, ids in zip(other, _encode_each(tok, [chunks[k] for k in other]), strict=True):
         out[k] = ids
-    if len(known) < WORDS_KEPT:
-        known.update(simple)
-        known.update((chunks[k], out[k]) for k, _, _ in late)
+    if (room := WORDS_KEPT - len(known)) > 0:
+        known.update(islice(simple.items(), room // 2))
+        known.update((chunks[k], out[k]) for k, _, _ in islice(late, room // 2))
     return out
 
 
@@ -145,6 +148,13 @@ def token_ids(path: str, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarr
         yield ids, bounds
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker lives on beside others after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _tokenize(path: str, vocabulary: int):
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
@@ -172,6 +182,7 @@ def _tokenize(path: str, vocabulary: int):
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(n)), pa.array(sig), pa.array(n), packed, pa.nulls(len(n), pa.binary())], ["doc_id", "sig", "n", "ids", "df"])
                 done += len(n)
+        _give_back()
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.astype("<i8").tobytes()], pa.binary())], ["doc_id", "sig", "n", "ids", "df"])
 
@@ -195,12 +206,16 @@ class Shard:
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         self.ids = ids
         n = np.array([len(x) for x in ids], dtype=np.int64)
-        doc = np.repeat(np.arange(len(ids), dtype=np.uint64), n)
-        keys = np.sort((np.concatenate(ids).astype(np.uint64) << np.uint64(32)) | doc)
+        # term and document share a number, 32 bits where both fit
+        kind, low = (np.uint32, 15) if ids[0].dtype.itemsize == 2 and len(ids) <= 1 << 15 else (np.uint64, 32)
+        keys = np.concatenate(ids).astype(kind)
+        keys <<= kind(low)
+        keys |= np.repeat(np.arange(len(ids), dtype=kind), n)
+        keys.sort()
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         tf = np.diff(np.r_[new, len(keys)]).astype(np.float32)
         keys = keys[new]
-        term, self.doc = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        term, self.doc = (keys >> kind(low)).astype(np.int64), (keys & kind((1 << low) - 1)).astype(np.int32)
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[self.doc] / mean))).astype(np.float32)
         ends = np.flatnonzero(np.r_[term[1:] != term[:-1], True]) + 1
         starts = np.r_[0, ends[:-1]]
@@ -311,6 +326,7 @@ def _pack(idf: np.ndarray, mean: float, window: int, wide: bool):
             keys.append(b.column("doc_id").slice(begun))
         if ids:
             yield from close()
+        _give_back()
 
     return run
 
