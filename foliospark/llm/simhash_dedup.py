@@ -270,8 +270,8 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, bucket_rows: int = B
 #: For near_dedup: routing min-hashes of a text, bins of its sketch, bits by which the fingerprints of
 #: two texts of similarity 0.8 may differ, rows of a routing key that one task takes.
 ROUTES, BINS, NEAR_BITS, BLOCK = 6, 512, 20, 4096
-#: What a sketch may fall short of the similarity, so that its error loses no pair.
-MARGIN = 0.02
+#: Standard errors by which a sketch must clear the similarity, up or down, to settle a pair without the texts.
+ERRORS = 4
 _BIN_BITS = BINS.bit_length() - 1
 _ODD = (np.random.default_rng(5).integers(1, 1 << 62, ROUTES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -307,18 +307,56 @@ def _sketches(words: int):
     return run
 
 
+def judge(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(alike, in doubt) of pairs of sketches: in doubt within ERRORS standard errors of the similarity."""
+    filled = np.count_nonzero(a | b, axis=1)
+    over = np.count_nonzero((a == b) & (a != 0), axis=1) - similarity * filled
+    error = ERRORS * np.sqrt(similarity * (1 - similarity) * filled)
+    return over > error, np.abs(over) <= error
+
+
+def sweep(n: int, split: int, forest: Forest, test) -> None:
+    """Gives every pair i < j of 0..n-1 that is not linked yet to ``test(i, j)``, of two blocks the cross pairs only."""
+    two = split < n
+    step = max(1, STRIDE // 8 // n)
+    for k in range(0, split, step):
+        rows, others = np.arange(k, min(k + step, split)), np.arange(split if two else k + 1, n)
+        i, j = np.repeat(rows, len(others)), np.tile(others, len(rows))
+        open_ = (i < j) & (forest.roots(i) != forest.roots(j))
+        if open_.any():
+            test(i[open_], j[open_])
+
+
 def _join_routes(similarity: float):
-    """Rows (key, pair, block, node, fp, sketch) sorted by key and pair -> edges (a, b) that span each group's links."""
+    """Rows (key, pair, block, node, fp, sketch, keys) sorted by key and pair -> rows (a, b, key, pair).
 
-    def solve(node, block, fp, data) -> pa.RecordBatch | None:
+    Without key, an edge of a forest that spans the links the sketches are sure of. With key, a text a that
+    is in doubt with others of the same (key, pair, b). A pair in doubt counts in the first route it shares.
+    """
+
+    def solve(name, node, block, fp, data, keys) -> pa.RecordBatch | None:
         order = np.lexsort((fp, block))
-        node, block, fp, data = node[order], block[order], fp[order], data[order]
-        forest = Forest(len(fp))
+        node, block, fp, data, keys = node[order], block[order], fp[order], data[order], keys[order]
+        forest, near = Forest(len(fp)), Forest(len(fp))
+        inside = np.zeros(len(fp), dtype=bool)
+        doubts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold() -> None:
+            i, j = (np.concatenate([x[k] for x in doubts]) for k in range(2))
+            apart = forest.roots(i) != forest.roots(j)
+            i, j = i[apart], j[apart]
+            near.join(i, j)
+            inside[i] = inside[j] = True
+            doubts.clear()
 
         def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            a, b = data[i], data[j]
-            filled = (a | b) != 0
-            return ((a == b) & filled).sum(axis=1) >= (similarity - MARGIN) * filled.sum(axis=1)
+            sure, doubt = judge(data[i], data[j], similarity)
+            i, j = i[doubt], j[doubt]
+            mine = (keys[i] == keys[j]).argmax(axis=1) == name[0] & 7
+            doubts.append((i[mine], j[mine]))
+            if sum(len(x[0]) for x in doubts) > FRONTIER:
+                fold()
+            return sure
 
         split = int(np.searchsorted(block, block[0], side="right"))
         one = np.array([0])
@@ -327,9 +365,15 @@ def _join_routes(similarity: float):
         else:
             # the two blocks' tries are each in order of fp; the walk only looks inside its ranges
             walk(fp, (one, one + split, one + split, one + len(fp), one), NEAR_BITS, 0, forest, alike)
+        if doubts:
+            fold()
         root = forest.roots(np.arange(len(fp)))
-        linked = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"]) if len(linked) else None
+        linked, unsure = np.flatnonzero(root != np.arange(len(fp))), np.flatnonzero(inside)
+        if not len(linked) + len(unsure):
+            return None
+        a, b = np.r_[node[linked], node[unsure]], np.r_[node[root[linked]], node[near.roots(unsure)]]
+        names = [pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(np.full(len(unsure), x))]) for x in name]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *names], ["a", "b", "key", "pair"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -337,15 +381,17 @@ def _join_routes(similarity: float):
 
         def close():
             if sum(len(h[0]) for h in held) > 1:
-                out = solve(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+                out = solve(now, *(np.concatenate([h[k] for h in held]) for k in range(5)))
                 if out is not None:
                     yield out
             held.clear()
 
         for b in batches:
+            if not len(b):
+                continue
             key, pair = b.column("key").to_numpy(), b.column("pair").to_numpy()
             sketches = np.frombuffer(b"".join(x.as_py() for x in b.column("sketch")), dtype=np.uint8).reshape(len(key), BINS)
-            part = (b.column("node").to_numpy(), b.column("block").to_numpy(), b.column("fp").to_numpy().view(np.uint64), sketches)
+            part = (b.column("node").to_numpy(), b.column("block").to_numpy(), b.column("fp").to_numpy().view(np.uint64), sketches, b.column("keys").flatten().to_numpy().reshape(-1, ROUTES))
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
                 if now != (name := (key[lo], pair[lo])):
@@ -357,11 +403,58 @@ def _join_routes(similarity: float):
     return run
 
 
+def _settle_doubts(words: int, similarity: float):
+    """Rows (key, pair, group, a, text) sorted by the first three -> edges (a, b) by the Jaccard similarity of shingle sets."""
+
+    def solve(node: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        data = np.array([sketch(h)[1] for h in sets])
+        forest = Forest(len(sets))
+
+        def test(i: np.ndarray, j: np.ndarray) -> None:
+            sure, doubt = judge(data[i], data[j], similarity)
+            forest.join(i[sure], j[sure])
+            for x, y in zip(i[doubt], j[doubt], strict=True):
+                pair = np.array([x, y])
+                if len(np.unique(forest.roots(pair))) == 2 and jaccard(sets[x], sets[y]) >= similarity:
+                    forest.join(pair[:1], pair[1:])
+
+        sweep(len(sets), len(sets), forest, test)
+        root = forest.roots(np.arange(len(sets)))
+        linked = np.flatnonzero(root != np.arange(len(sets)))
+        node = np.array(node, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node: list[int] = []
+        sets: list[np.ndarray] = []
+        now = None
+        for batch in batches:
+            columns = (batch.column(c) for c in ("key", "pair", "group", "a", "text"))
+            for key, pair, group, a, text in zip(*columns, strict=True):
+                if now != (name := (key.as_py(), pair.as_py(), group.as_py())):
+                    if len(sets) > 1:
+                        yield solve(node, sets)
+                    node, sets, now = [], [], name
+                node.append(a.as_py())
+                sets.append(np.unique(hashes(shingles(text.as_py(), words))))
+        if len(sets) > 1:
+            yield solve(node, sets)
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets, of which one at least is not empty."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_key, node, group): near-copies of whole texts share a group.
 
-    Two texts are linked if the Jaccard similarity of their shingle sets, told from sketches of BINS
-    bins, is at least ``similarity``, but for MARGIN. Equal word sequences are collapsed first. Texts are routed by
+    Two texts are linked if the Jaccard similarity of their shingle sets is at least ``similarity``. Sketches
+    of BINS bins settle the pairs that clear it by ERRORS standard errors, up or down; the texts of the
+    others are fetched once more and their sets compared. Equal word sequences are collapsed first. Texts are routed by
     ROUTES min-hashes of their shingles, of which a pair at similarity 0.8 shares one but for 0.2^ROUTES;
     inside a route the trie walk over fingerprints finds the pairs within NEAR_BITS. Only routes that two
     texts share are carried further. A route with more than BLOCK texts is cut into blocks by a hash, and
@@ -377,8 +470,15 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     member = routes.join(shared, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     member = member.withColumn("other", other).withColumn("pair", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).cast("long"))
-    wide = stage_table(member.select("key", "pair", "block", "node"), "members").join(texts.select("node", "fp", "sketch"), "node")
-    edges = wide.select("key", "pair", "block", "node", "fp", "sketch").repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_join_routes(similarity), "a long, b long")
+    wide = stage_table(member.select("key", "pair", "block", "node"), "members").join(texts.select("node", "fp", "sketch", "keys"), "node")
+    wide = wide.select("key", "pair", "block", "node", "fp", "sketch", "keys").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    found = stage_table(wide.mapInArrow(_join_routes(similarity), "a long, b long, key long, pair long"), "links")
+    doubts = found.where("key is not null").withColumnRenamed("b", "group")
+    unsure = stage_table(doubts.select("a").distinct().join(rows, F.col("a") == F.col("node")).groupBy("a").agg(F.min("text_key").alias("text_key")), "unsure")
+    again = docs.select(F.xxhash64("text").alias("hash"), F.col("text").cast("string")).join(unsure, F.col("hash") == F.col("text_key")).groupBy("a").agg(F.min("text").alias("text"))
+    again = doubts.join(again.withColumnRenamed("a", "node"), F.col("a") == F.col("node")).select("key", "pair", "group", "a", "text")
+    settled = again.repartition("key", "pair", "group").sortWithinPartitions("key", "pair", "group").mapInArrow(_settle_doubts(words, similarity), "a long, b long")
+    edges = found.where("key is null").select("a", "b").union(settled)
     tree = components(edges).withColumnRenamed("node", "linked")
     return rows.select("doc_id", "text_key", "node").join(tree, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", "node", F.coalesce("root", "node").alias("group"))
 

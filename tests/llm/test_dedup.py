@@ -150,3 +150,21 @@ def test_stage_on_documents(spark):
     kept = simhash_dedup.keep_one(docs)
     assert kept.count() < docs.count()
     assert kept.select(F.lower("text")).distinct().count() == kept.count()
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs a step above and below 0.8 are told apart, where sketches alone take about half of those below."""
+    rng = random.Random(4)
+    rows = []
+    for pair in range(60):
+        # 900 common shingles of 1124 or 1126: 0.8007 or 0.7993
+        common = [f"c{pair}x{k}" for k in range(904)]
+        for side in "ab":
+            own = [f"{side}{pair}x{k}" for k in range(112 + pair % 2)]
+            rows.append((len(rows), " ".join(common + own)))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.group for r in simhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in rows}
+    for d in range(0, 120, 2):
+        assert (got[d] == got[d + 1]) == (len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) >= 0.8)
+    assert len(set(got.values())) == 90
