@@ -267,9 +267,11 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, bucket_rows: int = B
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join_buckets(budget, block), "a long, b long")
 
 
-#: For near_dedup: routing min-hashes of a text, bins of its sketch, bits by which the fingerprints of
-#: two texts of similarity 0.8 may differ, rows of a routing key that one task takes.
+#: For near_dedup: routing min-hashes of a text, bins of its sketch, bits within which the trie walk looks
+#: for links before all other pairs are tested, rows of a routing key that one task takes.
 ROUTES, BINS, NEAR_BITS, BLOCK = 6, 512, 20, 4096
+#: Texts of a group from which on its links are first looked for by the trie walk.
+WALK_ROWS = 64
 #: Standard errors by which a sketch must clear the similarity, up or down, to settle a pair without the texts.
 ERRORS = 4
 _BIN_BITS = BINS.bit_length() - 1
@@ -292,17 +294,18 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, prints, keys, sketches = [], [], [], []
+            node, prints, keys, sketches, size = [], [], [], [], []
             for t in b.column("text"):
                 text = t.as_py() or ""
                 node.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), 42))
-                h = hashes(shingles(text, words))
+                h = np.unique(hashes(shingles(text, words)))
                 prints.append(fingerprint(h))
+                size.append(len(h))
                 k, s = sketch(h)
                 keys.append(k.view(np.int64))
                 sketches.append(s.tobytes())
             signed = lambda x: pa.array(np.array(x, dtype="<u8").view("<i8"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), signed(node), signed(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "node", "fp", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), signed(node), signed(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(size, pa.int32())], ["doc_id", "text_key", "node", "fp", "keys", "sketch", "size"])
 
     return run
 
@@ -328,15 +331,16 @@ def sweep(n: int, split: int, forest: Forest, test) -> None:
 
 
 def _join_routes(similarity: float):
-    """Rows (key, pair, block, node, fp, sketch, keys) sorted by key and pair -> rows (a, b, key, pair).
+    """Rows (key, pair, block, node, fp, sketch, keys, size) sorted by key and pair -> rows (a, b, key, pair).
 
     Without key, an edge of a forest that spans the links the sketches are sure of. With key, a text a that
     is in doubt with others of the same (key, pair, b). A pair in doubt counts in the first route it shares.
+    Fingerprints within NEAR_BITS are looked up first, in large groups; pairs still apart are all tested.
     """
 
-    def solve(name, node, block, fp, data, keys) -> pa.RecordBatch | None:
+    def solve(name, node, block, fp, data, keys, size) -> pa.RecordBatch | None:
         order = np.lexsort((fp, block))
-        node, block, fp, data, keys = node[order], block[order], fp[order], data[order], keys[order]
+        node, block, fp, data, keys, size = (x[order] for x in (node, block, fp, data, keys, size))
         forest, near = Forest(len(fp)), Forest(len(fp))
         inside = np.zeros(len(fp), dtype=bool)
         doubts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -358,13 +362,23 @@ def _join_routes(similarity: float):
                 fold()
             return sure
 
+        def test(i: np.ndarray, j: np.ndarray) -> None:
+            # sets whose sizes differ by more than the similarity cannot reach it
+            like = np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity
+            i, j = i[like], j[like]
+            sure = alike(i, j)
+            forest.join(i[sure], j[sure])
+
         split = int(np.searchsorted(block, block[0], side="right"))
         one = np.array([0])
-        if split == len(fp):
+        if len(fp) < WALK_ROWS:
+            pass
+        elif split == len(fp):
             walk(fp, (one, one + split, one, one + split, one), NEAR_BITS, 0, forest, alike)
         else:
             # the two blocks' tries are each in order of fp; the walk only looks inside its ranges
             walk(fp, (one, one + split, one + split, one + len(fp), one), NEAR_BITS, 0, forest, alike)
+        sweep(len(fp), split, forest, test)
         if doubts:
             fold()
         root = forest.roots(np.arange(len(fp)))
@@ -381,7 +395,7 @@ def _join_routes(similarity: float):
 
         def close():
             if sum(len(h[0]) for h in held) > 1:
-                out = solve(now, *(np.concatenate([h[k] for h in held]) for k in range(5)))
+                out = solve(now, *(np.concatenate([h[k] for h in held]) for k in range(6)))
                 if out is not None:
                     yield out
             held.clear()
@@ -391,7 +405,7 @@ def _join_routes(similarity: float):
                 continue
             key, pair = b.column("key").to_numpy(), b.column("pair").to_numpy()
             sketches = np.frombuffer(b"".join(x.as_py() for x in b.column("sketch")), dtype=np.uint8).reshape(len(key), BINS)
-            part = (b.column("node").to_numpy(), b.column("block").to_numpy(), b.column("fp").to_numpy().view(np.uint64), sketches, b.column("keys").flatten().to_numpy().reshape(-1, ROUTES))
+            part = (b.column("node").to_numpy(), b.column("block").to_numpy(), b.column("fp").to_numpy().view(np.uint64), sketches, b.column("keys").flatten().to_numpy().reshape(-1, ROUTES), b.column("size").to_numpy())
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
                 if now != (name := (key[lo], pair[lo])):
@@ -456,22 +470,23 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     of BINS bins settle the pairs that clear it by ERRORS standard errors, up or down; the texts of the
     others are fetched once more and their sets compared. Equal word sequences are collapsed first. Texts are routed by
     ROUTES min-hashes of their shingles, of which a pair at similarity 0.8 shares one but for 0.2^ROUTES;
-    inside a route the trie walk over fingerprints finds the pairs within NEAR_BITS. Only routes that two
+    inside a large route the trie walk over fingerprints of the sets finds the pairs within NEAR_BITS first, and
+    then all pairs not linked yet are tested. Only routes that two
     texts share are carried further. A route with more than BLOCK texts is cut into blocks by a hash, and
     each pair of blocks is a group of its own, so its work is spread and no pair is left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    rows = stage_table(rows.mapInArrow(_sketches(words), f"doc_id {kind}, text_key long, node long, fp long, keys array<long>, sketch binary"), "sketches")
-    texts = stage_table(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")), "texts")
+    rows = stage_table(rows.mapInArrow(_sketches(words), f"doc_id {kind}, text_key long, node long, fp long, keys array<long>, sketch binary, size int"), "sketches")
+    texts = stage_table(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"), F.min("size").alias("size")), "texts")
     routes = texts.select("node", F.explode("keys").alias("key"))
     shared = stage_table(routes.groupBy("key").count().where("count > 1").withColumnRenamed("count", "n"), "routes")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = routes.join(shared, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     member = member.withColumn("other", other).withColumn("pair", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).cast("long"))
-    wide = stage_table(member.select("key", "pair", "block", "node"), "members").join(texts.select("node", "fp", "sketch", "keys"), "node")
-    wide = wide.select("key", "pair", "block", "node", "fp", "sketch", "keys").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    wide = stage_table(member.select("key", "pair", "block", "node"), "members").join(texts.select("node", "fp", "sketch", "keys", "size"), "node")
+    wide = wide.select("key", "pair", "block", "node", "fp", "sketch", "keys", "size").repartition("key", "pair").sortWithinPartitions("key", "pair")
     found = stage_table(wide.mapInArrow(_join_routes(similarity), "a long, b long, key long, pair long"), "links")
     doubts = found.where("key is not null").withColumnRenamed("b", "group")
     unsure = stage_table(doubts.select("a").distinct().join(rows, F.col("a") == F.col("node")).groupBy("a").agg(F.min("text_key").alias("text_key")), "unsure")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -168,3 +169,21 @@ def test_near_copies_by_exact_similarity(spark):
     for d in range(0, 120, 2):
         assert (got[d] == got[d + 1]) == (len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) >= 0.8)
     assert len(set(got.values())) == 90
+
+
+def test_near_copies_with_repeated_passages(spark, monkeypatch):
+    """Copies that differ in how often a passage recurs, and copies whose fingerprints lie beyond the walk's bits."""
+    rows = []
+    for g in range(40):
+        text = [f"w{g}x{k}" for k in range(404)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text + text[90:114] * 12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group for r in simhash_dedup.near_groups(docs).collect()}
+    assert all(got[d] == got[d + 1] for d in range(0, 80, 2)) and len(set(got.values())) == 40
+    run = simhash_dedup._join_routes(0.8)
+    a, b = np.arange(1, 513) % 255 + 1, np.arange(1, 513) % 255 + 1
+    b[:20] = 0
+    table = {"key": [8, 8], "pair": [0, 0], "block": [0, 0], "node": [5, 6], "fp": [0, (1 << 40) - 1], "sketch": [x.astype(np.uint8).tobytes() for x in (a, b)], "keys": [[8, 1, 2, 3, 4, 5]] * 2, "size": [900, 890]}
+    for limit in (1, 64):
+        monkeypatch.setattr(simhash_dedup, "WALK_ROWS", limit)
+        assert [x.to_pylist() for x in run(iter([pa.RecordBatch.from_pydict(table)]))] == [[{"a": 6, "b": 5, "key": None, "pair": None}]]
