@@ -61,17 +61,16 @@ def split_seeds(phrase: str, errors: int) -> list[tuple[int, str]]:
 
 @lru_cache(maxsize=4)
 def _machine(phrases: tuple, notices: tuple, chars_per_error: int):
-    """An automaton over all seeds, and the patterns that verify them."""
+    """An automaton over all seeds, and the phrases with the places of their characters as bits."""
     import ahocorasick
-    import regex
 
     seeds: dict[str, list[tuple[int, int]]] = {}
     patterns = []
     for k, (phrase, label) in enumerate([*phrases, *notices]):
         raw = phrase.encode().decode("latin-1")
         errors = 0 if k < len(phrases) else len(raw) // chars_per_error
-        match = regex.compile(f"(?b)(?: {regex.escape(raw, literal_spaces=True)} ){{e<={errors}}}") if errors else None
-        patterns.append((raw, label, errors, match))
+        places = {c: sum(1 << i for i, x in enumerate(raw) if x == c) for c in set(raw)}
+        patterns.append((raw, label, errors, places))
         # the spaces around a phrase are part of an exact seed, so that short phrases start no search inside words
         for at, seed in split_seeds(f" {raw} ", errors):
             seeds.setdefault(seed, []).append((k, at))
@@ -82,11 +81,40 @@ def _machine(phrases: tuple, notices: tuple, chars_per_error: int):
     return machine, patterns
 
 
+def _matches(folded: str, a: int, b: int, length: int, errors: int, places: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(errors, start, end) of whole words of [a, b) within the errors of a phrase; of those that overlap the best.
+
+    From each word start, the edit distances to all prefixes of the text by Myers' bit vectors.
+    """
+    mask, last = (1 << length) - 1, 1 << (length - 1)
+    near = []
+    space = folded.find(" ", a, b)
+    while space >= 0 and space + 1 + length - errors < b:
+        start, plus, minus, score = space + 1, mask, 0, length
+        for end in range(start, min(b, start + length + errors + 1)):
+            c = folded[end]
+            if c == " " and score <= errors and end > start:
+                near.append((score, start, end))
+            same = places.get(c, 0)
+            down = same | minus
+            across = (((same & plus) + plus) ^ plus) | same
+            up, less = minus | ~(across | plus) & mask, plus & across
+            score += bool(up & last) - bool(less & last)
+            up, less = (up << 1 | 1) & mask, less << 1 & mask
+            plus, minus = (less | ~(down | up)) & mask, up & down
+        space = folded.find(" ", space + 1, b)
+    best: list[tuple[int, int, int]] = []
+    for x in sorted(near):
+        if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
+            best.append(x)
+    return best
+
+
 def find_notices(folded: str, phrases=PHRASES, notices=NOTICES, chars_per_error: int = CHARS_PER_ERROR) -> tuple[list[tuple[int, str]], list[tuple[int, int, str, int, float]]]:
     """Base places (character, label), and verified notices (start, end, label, errors, likeness), sorted.
 
     A seed's place fixes where its phrase may lie, give or take the errors; places of one phrase that
-    overlap are joined, and the pattern with bounded errors looks for its best matches inside.
+    overlap are joined, and inside every run of whole words is compared that could be the phrase with its errors.
     """
     machine, patterns = _machine(tuple(phrases), tuple(notices), chars_per_error)
     windows: dict[int, list[list[int]]] = {}
@@ -110,13 +138,9 @@ def find_notices(folded: str, phrases=PHRASES, notices=NOTICES, chars_per_error:
             else:
                 spans.append(span)
     for k, spans in windows.items():
-        raw, label, errors, match = patterns[k]
+        raw, label, errors, places = patterns[k]
         for a, b in spans:
-            for m in match.finditer(folded, a, b):
-                wrong = sum(m.fuzzy_counts)
-                # a match ends at word ends; the spaces themselves may not be edited away
-                if folded[m.start() : m.start() + 1] == " " and folded[m.end() - 1 : m.end()] == " ":
-                    found.append((m.start() + 1, m.end() - 1, label, wrong, 1 - wrong / len(raw)))
+            found += [(x, y, label, wrong, 1 - wrong / len(raw)) for wrong, x, y in _matches(folded, a, min(b, len(folded)), len(raw), errors, places)]
     return sorted(set(base)), sorted(set(found))
 
 

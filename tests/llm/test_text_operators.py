@@ -40,6 +40,24 @@ def test_license_rows(spark):
     assert sorted((r.n_words, r.n_base) for r in license_scan.license_scan(docs).collect()) == texts
 
 
+def test_license_one_error_at_every_place():
+    for phrase, label in license_scan.NOTICES:
+        if len(phrase) < license_scan.CHARS_PER_ERROR:
+            continue
+        for at in range(len(phrase) + 1):
+            for letter in "sq":
+                forms = [phrase[:at] + letter + phrase[at:]]
+                if at < len(phrase) and phrase[at] != " ":
+                    forms += [phrase[:at] + letter + phrase[at + 1 :], phrase[:at] + phrase[at + 1 :]]
+                for form in forms:
+                    _, found = license_scan.find_notices(license_scan.fold(f"Under the {form} and by others")[0])
+                    # a one-letter word that goes takes a space with it
+                    assert any(x[2] == label and x[3] <= 1 + ("  " in form) for x in found), form
+    # a notice before a better match of the same phrase
+    _, found = license_scan.find_notices(license_scan.fold("the mit licenses are mit license text")[0])
+    assert [(a, b, wrong) for a, b, label, wrong, _ in found if label == "mit"] == [(5, 17, 1), (22, 33, 0)]
+
+
 def test_license_errors():
     assert license_scan.scan("under the GNU Generel Public Licence, v3")[5] == "gpl"
     assert license_scan.scan("Redistribution and use in sorce and binary form, with")[5] == "bsd"
