@@ -5,14 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +24,14 @@ from foliospark.llm.support import stage_table
 WINDOW, END_ID = 2048, 1
 #: Tokens and documents of one shard, which a task packs at a time.
 SHARD_TOKENS, SHARD_DOCS = 2_000_000, 30_000
-#: Documents of so many tokens are placed by the min-hash of one stretch of them, drawn by a hash; by that
-#: of the whole they would all lie in one range, as each holds nearly every frequent id.
-LONG, STRETCH = 4 * WINDOW, 512
-#: BM25's constants; terms of a seed that query the index; neighbours that one query ranks.
-K1, B, QUERY_TERMS, RANKED = 1.2, 0.75, 24, 64
-#: Documents whose ids are put together at once; words whose ids a Python worker remembers.
-ROWS_AT_ONCE, WORDS_KEPT = 1_000, 300_000
-#: Texts whose words are looked up at once.
-TEXTS_AT_ONCE = 10_000
+#: BM25's constants; neighbours that are handed out before the index is asked again.
+K1, B, RANKED = 1.2, 0.75, 64
+#: A term that stands in more than one document of so many has a dense row in a shard's index.
+DENSE = 4
+#: Texts, and bytes of them, whose words are looked up at once; documents whose ids are put together at once.
+TEXTS_AT_ONCE, BYTES_AT_ONCE, ROWS_AT_ONCE = 10_000, 8 << 20, 200
+#: Words whose ids a task remembers, as numbers in arrays; beyond them it begins anew.
+WORDS_KEPT = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -39,117 +40,191 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """The tokenizer, which of its ids end a word, and the word ids that this worker remembers."""
+    """The tokenizer, and which of its ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     ends = np.zeros(tok.get_vocab_size(), dtype=bool)
     ends[[n for w, n in tok.get_vocab().items() if w.endswith("</w>")]] = True
-    return tok, ends, {}
-
-
-@lru_cache(maxsize=1)
-def _shuffled(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two fixed random orders of the token ids, for the min-hashes that shards are cut by."""
-    rng = np.random.default_rng(20)
-    return rng.permutation(size).astype(np.int64), rng.permutation(size).astype(np.int64)
+    return tok, ends
 
 
 #: Marks that may end a chunk of letters: alone and together they are one word to the tokenizer.
 _TAIL = '.,;:!?#*$%&|()"=+/-'
+#: Letters whose lower case is one letter, composed, in the tokenizer's own normal form.
+_LETTERS = "".join(c for c in map(chr, range(65, 0x250)) if c.isalpha() and c not in "ªµº\u0130\u0149")
+_SIMPLE = f"^[{_LETTERS}]+[{re.escape(_TAIL)}]*$"
+
+
+class Pieces:
+    """Ids of pieces of text, one after the other: ``flat`` with the begin and the size of each piece."""
+
+    def __init__(self):
+        self.flat: list[np.ndarray] = []
+        self.size: list[np.ndarray] = []
+        self.count = 0
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> int:
+        """The number of the first of these pieces."""
+        first, self.count = self.count, self.count + len(size)
+        self.flat.append(flat)
+        self.size.append(size)
+        return first
+
+    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.concatenate(self.size).astype(np.int64)
+        return np.concatenate(self.flat), np.cumsum(size) - size, size
 
 
-def _encode(tok, ends: np.ndarray, words: list[str]) -> list[bytes]:
-    """Ids of words that are each one word to the tokenizer: encoded in one text and cut at word ends."""
-    out: list[bytes] = []
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Every number of the ranges [begin, begin + size), one range after the other."""
+    until = np.cumsum(size)
+    at = np.repeat(begin - until + size, size)
+    at += np.arange(len(at))
+    return at
+
+
+def _encode(tok, ends: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of words that are each one word to the tokenizer: encoded in one text and cut at word ends."""
+    flat, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for k in range(0, len(words), 20_000):
         block = words[k : k + 20_000]
-        ids = np.array(tok.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = (np.flatnonzero(ends[ids]) + 1) * 4
-        if len(cuts) == len(block):
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
-        else:
-            out += _encode_each(tok, block)
-    return out
+        ids = np.array(tok.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        cuts = np.flatnonzero(ends[ids]) + 1
+        own = (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(block) else _encode_each(tok, block)
+        flat.append(own[0])
+        size.append(own[1])
+    return np.concatenate(flat), np.concatenate(size)
+
+
+def _encode_each(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
 
+class Words:
+    """Ids of the words that a task has met, found by 128-bit hashes of the words."""
 
-def _encode_each(tok, words: list[str]) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    def __init__(self):
+        self.key = np.zeros((0, 2), dtype=np.uint64)
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    @staticmethod
+    def hashes(words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
 
-def _word_ids(path: str, chunks: list[str]) -> list[bytes]:
-    """Each chunk's ids as bytes. The tokenizer drops white space, joins nothing across it, and lowers case.
+    def places(self, key: np.ndarray) -> np.ndarray:
+        """Where each key lies, -1 for none."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key[:, 0], key[:, 0]), len(self.key) - 1)
+        return np.where((self.key[at] == key).all(axis=1), at, -1)
 
-    A chunk of letters and marks is two words to it; such words are looked up in lower case, so that
-    few are left to encode. Other chunks are encoded as they are.
+    def learn(self, key: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        if len(self.key) + len(key) > WORDS_KEPT:
+            self.__init__()
+        begin = np.cumsum(size) - size + len(self.flat)
+        both = np.concatenate([self.key, key])
+        order = np.argsort(both[:, 0], kind="stable")
+        self.key = both[order]
+        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def _chunk_ids(path: str, chunks: pa.Array, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begin, size) of chunks between white space. The tokenizer joins nothing across it, and lowers case.
+
+    A chunk of letters and marks is two words to it: the letters are encoded once in lower case, however
+    many chunks have them, and the marks once. Other chunks are encoded as they are.
     """
-    tok, ends, known = _tokenizer(path)
-    out = list(map(known.get, chunks))
-    late: list[tuple[int, str, str]] = []
-    simple: dict[str, bytes] = {}
-    other: list[int] = []
-    for k, hit in enumerate(out):
-        if hit is None:
-            base = (chunk := chunks[k]).rstrip(_TAIL)
-            if not base or base.isalpha() and (base.isascii() or max(base) < "\u0250"):
-                tail = chunk[len(base) :]
-                base = base.lower()
-                late.append((k, base, tail))
-                simple[base] = simple[tail] = b""
-            else:
-                other.append(k)
-    missing = [w for w in simple if w and w not in known]
-    simple.update((w, known[w]) for w in simple if w in known)
-    simple.update(zip(missing, _encode(tok, ends, missing), strict=True))
-    for k, base, tail in late:
-        out[k] = simple[base] + simple[tail] if tail else simple[base]
-    for k, ids in zip(other, _encode_each(tok, [chunks[k] for k in other]), strict=True):
-        out[k] = ids
-    if (room := WORDS_KEPT - len(known)) > 0:
-        known.update(islice(simple.items(), room // 2))
-        known.update((chunks[k], out[k]) for k, _, _ in islice(late, room // 2))
-    return out
-
-
-def token_ids(path: str, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    tok, ends = _tokenizer(path)
+    simple = pc.match_substring_regex(chunks, _SIMPLE).to_numpy(zero_copy_only=False)
+    plain = chunks.filter(pa.array(simple))
+    base = pc.utf8_lower(pc.utf8_rtrim(plain, characters=_TAIL)).dictionary_encode()
+    tail = pc.utf8_ltrim(plain, characters=_LETTERS).dictionary_encode()
+    pieces = Pieces()
+    pair = np.empty((len(chunks), 2), dtype=np.int64)
+    pair[:, 1] = pieces.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+    words = base.dictionary.to_pylist()
+    key = known.hashes(words)
+    at = known.places(key)
+    own = at >= 0
+    late = np.flatnonzero(~own)
+    flat, size = _encode(tok, ends, [words[k] for k in late])
+    place = np.empty(len(words), dtype=np.int64)
+    place[late] = pieces.add(flat, size) + np.arange(len(late))
+    place[own] = pieces.add(known.flat[ranges(known.begin[at[own]], known.size[at[own]])], known.size[at[own]]) + np.arange(int(own.sum()))
+    known.learn(key[late], flat, size)
+    pair[simple, 0] = place[base.indices.to_numpy()]
+    pair[simple, 1] = pieces.add(*_encode_each(tok, tail.dictionary.to_pylist())) + tail.indices.to_numpy()
+    other = chunks.filter(pa.array(~simple)).to_pylist()
+    pair[~simple, 0] = pieces.add(*_encode_each(tok, other)) + np.arange(len(other))
+    flat, begin, size = pieces.close()
+    n = size[pair].sum(axis=1)
+    return flat[ranges(begin[pair.ravel()], size[pair.ravel()])], np.cumsum(n) - n, n
+
+
+def blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of at most TEXTS_AT_ONCE texts and, but for a single longer one, BYTES_AT_ONCE bytes."""
+    texts = texts.cast(pa.large_string())
+    until = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    k = 0
+    while k < len(texts):
+        end = int(np.searchsorted(until, (until[k - 1] if k else 0) + BYTES_AT_ONCE, side="right"))
+        end = min(max(end, k + 1), k + TEXTS_AT_ONCE, len(texts))
+        yield texts.slice(k, end - k)
+        k = end
+
+
+def token_ids(path: str, texts: pa.Array, known: Words | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yields (ids, bounds) for each run of ROWS_AT_ONCE texts: all their ids, each text's with END_ID at its end."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
-    texts = pc.replace_substring(texts, "\n", " ")
-    lists = pc.split_pattern(texts, " ")
     rows = len(texts)
-    del texts
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     starts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
-    del lists
+    del lists, texts
     index = coded.indices.to_numpy()
-    chunks = _word_ids(path, coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, chunks), np.int32, len(chunks)) // 4
-    flat = np.frombuffer(b"".join(chunks), dtype="<u4")
-    del chunks, coded
-    begin = np.cumsum(sizes, dtype=np.int64) - sizes
+    flat, begin, size = _chunk_ids(path, coded.dictionary, known or Words())
+    del coded
+    end, flat = len(size), np.append(flat, np.uint32(END_ID))
+    begin, size = np.append(begin, len(flat) - 1), np.append(size, 1)
     for k in range(0, rows, ROWS_AT_ONCE):
         own = starts[k : k + ROWS_AT_ONCE + 1]
-        word = index[own[0] : own[-1]]
-        n = sizes[word]
-        until = np.r_[0, np.cumsum(n, dtype=np.int64)]
-        total = until[own - own[0]]
-        ids = np.empty(total[-1] + len(own) - 1, dtype=np.uint32)
-        bounds = total + np.arange(len(own))
-        ids[bounds[1:] - 1] = END_ID
-        body = np.ones(len(ids), dtype=bool)
-        body[bounds[1:] - 1] = False
-        at = np.repeat(begin[word] - until[:-1], n)
-        at += np.arange(len(at))
-        ids[body] = flat[at]
-        yield ids, bounds
+        own, word = own - own[0], index[own[0] : own[-1]]
+        word = np.insert(word, own[1:], end)
+        n = size[word]
+        until = np.r_[0, np.cumsum(n)]
+        yield flat[ranges(begin[word], n)], until[own + np.arange(len(own))]
+
+
+def signatures(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A min-hash of each document over all runs of GRAM of its ids; the highest number where it has none."""
+    x = ids.astype(np.uint64)
+    h = np.full(len(ids), np.uint64(1 << 63), dtype=np.uint64)
+    if len(ids) >= GRAM:
+        run = np.zeros(len(ids) - GRAM + 1, dtype=np.uint64)
+        for k in range(GRAM):
+            run = (run + x[k : len(ids) - GRAM + 1 + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            run ^= run >> np.uint64(29)
+        h[: len(run)] = run >> np.uint64(1)
+    # runs that reach into the next document don't count
+    for k in range(1, GRAM):
+        at = bounds[1:] - k
+        h[at[at >= bounds[:-1]]] = np.uint64(1 << 63)
+    return np.minimum(np.minimum.reduceat(h, bounds[:-1]), np.uint64((1 << 63) - 1)).astype(np.int64)
+
+
+#: Ids of a run, by whose least hash a document is placed.
+GRAM = 2
 
 
 def _give_back() -> None:
-    """Returns freed memory to the system: a worker lives on beside others after its task."""
+    """Drops the tokenizer and returns freed memory to the system: a worker lives on beside others after its task."""
+    _tokenizer.cache_clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -160,12 +235,11 @@ def _tokenize(path: str, vocabulary: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = np.zeros(vocabulary + 2, dtype=np.int64)
-        first, second = _shuffled(vocabulary)
         seen = np.zeros((200, vocabulary), dtype=bool)
-        id_type = None
+        id_type, known = None, Words()
         for b in batches:
             id_type, done = b.schema.field("doc_id").type, 0
-            for ids, bounds in (x for k in range(0, len(b), TEXTS_AT_ONCE) for x in token_ids(path, b.column("text").slice(k, TEXTS_AT_ONCE))):
+            for ids, bounds in (x for part in blocks(b.column("text")) for x in token_ids(path, part, known)):
                 n = np.diff(bounds)
                 for k in range(0, len(n), 200):
                     part = bounds[k : k + 201]
@@ -173,15 +247,12 @@ def _tokenize(path: str, vocabulary: int):
                     seen[np.repeat(np.arange(len(part) - 1), np.diff(part)), ids[part[0] : part[-1]]] = True
                     frequency[:vocabulary] += seen[: len(part) - 1].sum(axis=0)
                 frequency[vocabulary:] += len(n), len(ids)
-                sig = (np.minimum.reduceat(first[ids], bounds[:-1]) << 32) | np.minimum.reduceat(second[ids], bounds[:-1])
-                for k in np.flatnonzero(n >= LONG):
-                    own = ids[bounds[k] : bounds[k + 1]]
-                    at = zlib.crc32(own.tobytes()) % (len(own) - STRETCH)
-                    sig[k] = (first[own[at : at + STRETCH]].min() << 32) | second[own[at : at + STRETCH]].min()
+                sig = signatures(ids, bounds)
                 data = ids.astype(kind)
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(n)), pa.array(sig), pa.array(n), packed, pa.nulls(len(n), pa.binary())], ["doc_id", "sig", "n", "ids", "df"])
                 done += len(n)
+        del seen, known
         _give_back()
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.astype("<i8").tobytes()], pa.binary())], ["doc_id", "sig", "n", "ids", "df"])
@@ -222,23 +293,34 @@ class Shard:
         run = np.repeat(np.arange(len(ends)), ends - starts)
         self.starts, self.ends = starts, ends
         by_doc = np.argsort(self.doc, kind="stable")
-        self.run_of, self.weight_of = run[by_doc], self.weight[by_doc]
+        self.run_of = run[by_doc]
         self.bounds = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=len(ids)))]
         self.unused = np.ones(len(ids), dtype=bool)
+        # frequent terms: a row of weights over all documents each, so that a query adds rows up
+        often = np.flatnonzero(ends - starts > max(1, len(ids) // DENSE))
+        self.row = np.full(len(ends), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(ids)), dtype=np.float32)
+        at = ranges(starts[often], (ends - starts)[often])
+        self.dense[self.row[run[at]], self.doc[at]] = self.weight[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of every document for all terms of the seed."""
+        runs = self.run_of[self.bounds[seed] : self.bounds[seed + 1]]
+        row = self.row[runs]
+        mask = np.zeros(len(self.dense), dtype=np.float32)
+        mask[row[row >= 0]] = 1
+        score = mask @ self.dense
+        rare = runs[row < 0]
+        n = self.ends[rare] - self.starts[rare]
+        rare, n = rare[n > 1], n[n > 1]
+        at = ranges(self.starts[rare], n)
+        score += np.bincount(self.doc[at], weights=self.weight[at], minlength=len(score)).astype(np.float32)
+        return score
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by falling BM25 score for the seed's weightiest terms."""
-        s = slice(self.bounds[seed], self.bounds[seed + 1])
-        runs, w = self.run_of[s], self.weight_of[s]
-        shared = self.ends[runs] - self.starts[runs] > 1
-        runs, w = runs[shared], w[shared]
-        if len(w) > QUERY_TERMS:
-            runs = runs[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(runs):
-            return runs
-        at = np.concatenate([np.arange(a, b) for a, b in zip(self.starts[runs], self.ends[runs], strict=True)])
-        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.ids))
-        score *= self.unused
+        """The best RANKED unused documents by falling BM25 score for the seed; fewer if fewer share a term."""
+        score = self.scores(seed) * self.unused
         top = np.argpartition(-score, RANKED)[:RANKED] if len(score) > RANKED else np.arange(len(score))
         top = top[score[top] > 0]
         return top[np.lexsort((top, -score[top]))]
@@ -261,7 +343,7 @@ class Shard:
             else:
                 if seed >= 0 and (near := self.neighbours(seed)).size:
                     queue = near[::-1].tolist()
-                    seed = -1 if len(near) < RANKED else seed
+                    seed = -1 if len(near) < RANKED else seed  # those may be used up: then the index is asked again
                     continue
                 while cursor < len(self.ids) and not self.unused[cursor]:
                     cursor += 1
@@ -336,8 +418,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, vocabulary: int = 49_408
 
     Texts are tokenized once; ids are kept as two bytes in a staged table, from which only document
     frequencies, at most ``vocabulary`` numbers, reach the driver. Documents are dealt to shards by
-    range of a min-hash over their ids, ties by doc_id, so that like texts meet and a group of copies
-    of any size is spread over shards. A task indexes and packs one shard at a time, bounded by
+    range of a min-hash over all runs of GRAM of their ids, ties by doc_id, so that like texts meet and a
+    group of copies of any size is spread over shards. A seed's neighbours come from its own shard. A task indexes and packs one shard at a time, bounded by
     SHARD_TOKENS and SHARD_DOCS beside its last document; a shard wastes nothing, as its last window
     is cut into powers of two.
 
