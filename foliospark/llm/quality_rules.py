@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.support import SPACES, split_words, text_of
+from foliospark.llm.support import SPACES, columns, private, split_words, text_of
 
 #: Frequent function words of English, French, German and Spanish, as plain text.
 STOP_WORDS = """the of and to in is that for with as it on by at are this was be from or an
@@ -111,7 +111,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    measured = quality_columns(docs)
-    judged = measured.select(*(F.col(f"`{x}`") for x in docs.columns), _pin(verdict()[1]).alias("__q_kept"))
-    return judged.where("__q_kept").select(*(F.col(f"`{x}`") for x in docs.columns))
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names."""
+    p = private(docs)
+    measured = quality_columns(docs, prefix=p)
+    judged = measured.select(*columns(measured)[: len(docs.columns)], _pin(verdict(p)[1]).alias(p + "kept"))
+    kept = judged.where(F.col(p + "kept"))
+    return kept.select(*columns(kept)[: len(docs.columns)])

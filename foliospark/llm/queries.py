@@ -45,7 +45,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND n_bullets / n_lines <= 0.90 AND n_ellipses / n_lines <= 0.30 AS kept FROM v""",
     "op6_source_mixing": r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-             md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+             md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))) AS k FROM documents),
 g AS (SELECT source, sum(size)::HUGEINT AS ss FROM s GROUP BY source),
 r AS (SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS j FROM g),
 w AS (SELECT *, [5, 2, 1][j + 1]::HUGEINT AS w, [-0.5, 0.0, 0.5][j + 1]::DOUBLE AS slope FROM r),
@@ -56,7 +56,7 @@ f AS (SELECT *, (150 * total - 200 * before) * w > 200 * ss * w_left AS capped F
 t AS (SELECT source, ss::BIGINT AS source_size, slope, CASE WHEN capped THEN (2 * ss)::DOUBLE ELSE
         ((150 * total - 200 * coalesce(sum(ss) FILTER (capped) OVER (), 0)) * w)::DOUBLE / (100 * sum(w) FILTER (NOT capped) OVER ())::DOUBLE END AS target FROM f),
 p AS (SELECT s.*, source_size, target, slope, floor(target + 0.5)::BIGINT AS quota,
-        (sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+        (sum(size) OVER (PARTITION BY s.source ORDER BY k ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, greatest(0, least(size, quota - start)) AS a, greatest(0, least(size, quota - start - source_size)) AS b,
         start / quota AS x, (start + source_size) / quota AS y FROM p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.support import SPACES, count_words, digits_for, stage_table, text_of
+from foliospark.llm.support import SPACES, columns, count_words, digits_for, private, stage_table, text_of
 
 #: Weights of the sources in code-point order, repeating, and the slope of each one's schedule: at
 #: time t of the training (0 to 1) a source weighs weight * (1 + slope * (2 t - 1)).
@@ -45,57 +45,68 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", target.alias("target"), "slope")
 
 
-def _placed(rows: DataFrame, sized: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, source, size and more) with source_size, target, start, quota, slope.
+def _key(text):
+    """A hash of doc_id and text, by which a source's documents are ordered and dealt to tasks, with ids or without."""
+    return F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
 
-    ``sized`` holds doc_id, source and size of the same rows; prefix sums come from it, so that
-    wide rows are shuffled once, by hash bucket of their source, and a source with a third of all
+
+def _placed(rows: DataFrame, sized: DataFrame, p: str) -> DataFrame:
+    """``rows`` (source, {p}size, {p}key and more) with {p}source_size, target, start, quota, slope.
+
+    ``sized`` holds source, size and key of the same rows; prefix sums come from it, so
+    that wide rows are shuffled once, by hash bucket of their source, and a source with a third of all
     rows is spread over many tasks.
     """
+    c = lambda name: F.col(p + name)
     digits = digits_for(sized.count(), BUCKET_ROWS, 2)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = lambda df: df.withColumn("__m_key", key).withColumn("__m_bucket", F.substring("__m_key", 1, digits))
-    buckets = keyed(sized).groupBy("source", "__m_bucket").agg(F.sum("size").alias("bucket_size"))
+    keyed = lambda df: df.withColumn(p + "bucket", F.substring(c("key"), 1, digits))
+    buckets = keyed(sized).groupBy("source", p + "bucket").agg(F.sum(c("size")).alias("bucket_size"))
     goals = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))).withColumnRenamed("source", "goal_source")
-    before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("__m_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = buckets.select("source", "__m_bucket", F.coalesce(before, F.lit(0)).alias("offset"))
-    offsets = offsets.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).select(F.col("source").alias("__m_source"), F.col("__m_bucket").alias("__m_bucket_too"), F.col("offset").alias("__m_offset"), F.col("source_size").alias("__m_source_size"), F.col("target").alias("__m_target"), F.col("slope").alias("__m_slope"))
-    rows = keyed(rows.withColumnRenamed("size", "__m_size"))
-    placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("__m_source")) & (F.col("__m_bucket") == F.col("__m_bucket_too"))).drop("__m_source", "__m_bucket_too")
-    inside = Window.partitionBy("source", "__m_bucket").orderBy("__m_key", "doc_id", "__m_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("__m_start", F.col("__m_offset") + F.sum("__m_size").over(inside) - F.col("__m_size"))
-    return placed.withColumn("__m_quota", F.floor(F.col("__m_target") + 0.5).cast("long"))
+    before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy(p + "bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = buckets.select("source", p + "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
+    named = {"source": "source", p + "bucket": "bucket_too", "offset": "offset", "source_size": "source_size", "target": "target", "slope": "slope"}
+    offsets = offsets.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).select(*(F.col(x).alias(p + ("goal_" if x == "source" else "") + y) for x, y in named.items()))
+    placed = keyed(rows).join(offsets, F.col("source").eqNullSafe(c("goal_source")) & (c("bucket") == c("bucket_too")))
+    inside = Window.partitionBy("source", p + "bucket").orderBy(p + "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn(p + "start", c("offset") + F.sum(c("size")).over(inside) - c("size"))
+    return placed.withColumn(p + "quota", F.floor(c("target") + 0.5).cast("long"))
 
 
-def _part(start):
+def _part(start, p: str):
     """Words that a pass takes of a document which begins at ``start``."""
-    return F.greatest(F.lit(0), F.least(F.col("__m_size"), F.col("__m_quota") - start)).cast("long")
+    return F.greatest(F.lit(0), F.least(F.col(p + "size"), F.col(p + "quota") - start)).cast("long")
 
 
-def _position(start):
+def _position(start, p: str):
     """The time t at which the source's schedule, slope*t^2 + (1-slope)*t, has met the demand before ``start``."""
-    a, g = F.col("__m_slope"), start / F.col("__m_quota")
-    return F.when(_part(start) > 0, 2 * g / ((1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * g)))
+    a, g = F.col(p + "slope"), start / F.col(p + "quota")
+    return F.when(_part(start, p) > 0, 2 * g / ((1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * g)))
+
+
+def _sized(docs: DataFrame, p: str) -> DataFrame:
+    text = text_of()
+    return docs.withColumns({p + "size": count_words(text), p + "key": _key(text)})
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, position, repeat_position.
 
-    Each source's documents stand in the order of md5(doc_id); a document covers the words from its
+    Each source's documents stand in the order of a hash of doc_id and text; a document covers the words from its
     start to its end in each pass over the source, and the mix takes a source's words up to its
     rounded target. A pass beyond the first repeats documents; the document at the target is taken in
     part. Rows come range-sorted by position, the training time from 0 to 1; those not taken come last.
 
-    Null texts have size 0 and take nothing, null sources are one source, null doc_ids hash as empty.
-    The order has no other ties than equal (doc_id, size), which are interchangeable, so reruns agree.
-    An empty table gives no rows; extra columns are ignored. Texts are read once, for their sizes.
+    Null texts have size 0 and take nothing, null sources are one source, null doc_ids hash as empty. The order has no other ties than rows with equal doc_id and
+    text, which are interchangeable, so reruns agree. An empty table gives no rows; extra columns are
+    ignored. Texts are read once, for their sizes and hashes.
     """
-    sized = stage_table(docs.select("doc_id", "source", count_words(text_of()).alias("size")), "mix")
-    start = F.col("__m_start")
-    again = start + F.col("__m_source_size")
-    out = _placed(sized, sized).select(
-        "doc_id", "source", F.col("__m_size").alias("size"), F.col("__m_source_size").alias("source_size"), F.col("__m_target").alias("target"),
-        (_part(start) + _part(again)).alias("taken"), _position(start).alias("position"), _position(again).alias("repeat_position"),
+    p = "__m_"
+    sized = stage_table(_sized(docs.select("doc_id", "source", "text"), p).drop("text"), "mix")
+    start = F.col(p + "start")
+    again = start + F.col(p + "source_size")
+    out = _placed(sized, sized, p).select(
+        "doc_id", "source", F.col(p + "size").alias("size"), F.col(p + "source_size").alias("source_size"), F.col(p + "target").alias("target"),
+        (_part(start, p) + _part(again, p)).alias("taken"), _position(start, p).alias("position"), _position(again, p).alias("repeat_position"),
     )
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id", "size")
 
@@ -112,23 +123,20 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     A document taken whole keeps its row; one taken in part, of which a source has one a pass, gives
     its text up to the last word taken, and n_chars, where there, follows. Rows without words are not
-    taken. Other columns stay; ties and nulls are as in ``mix``. Wide rows are shuffled twice: by
-    bucket of the source, and for the sort.
+    taken. Other columns stay, whatever their names; ties and nulls are as in ``mix``. Wide rows are
+    shuffled twice: by bucket of the source, and for the sort.
     """
-    size = count_words(text_of())
-    sized = stage_table(docs.select("doc_id", "source", size.alias("size")), "mix")
-    start = F.col("__m_start")
-    again = start + F.col("__m_source_size")
-    placed = _placed(docs.withColumn("size", size) if "size" not in docs.columns else docs.withColumnRenamed("size", "__m_own_size").withColumn("size", size), sized)
-    passes = F.filter(F.array(F.struct(_part(start).alias("n"), _position(start).alias("at")), F.struct(_part(again).alias("n"), _position(again).alias("at"))), lambda x: x["n"] > 0)
-    rows = placed.withColumn("__m_pass", F.explode(passes))
-    whole = F.col("__m_pass.n") >= F.col("__m_size")
-    rows = rows.withColumn("__m_text", F.when(whole, F.col("text")).otherwise(_first_words(text_of(), F.col("__m_pass.n"))))
-    rows = rows.orderBy("__m_pass.at", "doc_id", "__m_size")
-    kinds = dict(docs.dtypes)
-    new = {"text": F.col("__m_text")}
-    if "n_chars" in kinds:
-        new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length("__m_text")).cast(kinds["n_chars"])
-    if "size" in kinds:
-        new["size"] = F.col("__m_own_size")
-    return rows.select(*((new[x] if x in new else F.col(f"`{x}`")).alias(x) for x in docs.columns))
+    p = private(docs)
+    wide = _sized(docs, p)
+    sized = stage_table(wide.select("source", p + "size", p + "key"), "mix")
+    start = F.col(p + "start")
+    again = start + F.col(p + "source_size")
+    passes = F.filter(F.array(*(F.struct(_part(s, p).alias("n"), _position(s, p).alias("at")) for s in (start, again))), lambda x: x["n"] > 0)
+    rows = _placed(wide, sized, p).withColumn(p + "pass", F.explode(passes))
+    whole = F.col(p + "pass.n") >= F.col(p + "size")
+    rows = rows.withColumn(p + "text", F.when(whole, F.col("text")).otherwise(_first_words(text_of(), F.col(p + "pass.n"))))
+    rows = rows.orderBy(p + "pass.at", p + "key")
+    new = {"text": F.col(p + "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(p + "text")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*((new[x] if x in new else col).alias(x) for x, col in zip(docs.columns, columns(rows)[: len(docs.columns)], strict=True)))

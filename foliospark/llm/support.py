@@ -2,72 +2,33 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.sources.staging import discard, new_path, remove, shared_dir, stage_table
+
+__all__ = ["discard", "new_path", "remove", "shared_dir", "stage_table"]
+
 #: ASCII white space as the contracts name it.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="foliospark-"))
-    return made
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
-
-
-def stage_table(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and returns it reread.
-
-    A lost executor then costs the tasks it ran, never the stages before this table.
-    """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
 
-def discard(df: DataFrame) -> None:
-    """Deletes a staged table that nothing reads any more."""
-    if path := getattr(df, "_staged_path", None):
-        remove(df.sparkSession, path)
+def private(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames begins with, whatever the case."""
+    names = [c.lower() for f in frames for c in f.columns]
+    k = 0
+    while any(c.startswith(f"__{k}_") for c in names):
+        k += 1
+    return f"__{k}_"
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _staged:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+def columns(df: DataFrame) -> list:
+    """All columns of ``df`` by their exact names."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
 
 
 def text_of(name: str = "text"):

@@ -1,13 +1,13 @@
 """Small documents with every awkward case, for all operators."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, size string, key string, node string, fp string, text_hash string, gone string, n_words string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, size string, key string, node string, fp string, text_hash string, gone string, n_words string, __0_text string, __0_key string, __l_text string, __q_text string, __m_size string, __s_hash string, `a.b` string, Kept string, N_Lines string"
 
 LINE = "this very line stands in many documents and is longer than forty characters"
 PROSE = "the old house by the river was sold to a friend of the family and the garden with its many trees was left as it had been for years because nobody in the village wanted to change what they had known since they were young and the winter was near"
 
 
 def rows():
-    extra = ("x",) * 8
+    extra = ("x",) * 17
     texts = {
         1: PROSE,
         2: PROSE,

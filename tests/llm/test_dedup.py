@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import numpy as np
-import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -102,14 +102,27 @@ def test_links_of_overfull_buckets(spark):
 
 def test_walk_finds_all_pairs():
     rng = np.random.default_rng(3)
-    keys = np.sort(np.r_[rng.integers(0, 1 << 62, 300, dtype=np.uint64), np.repeat(np.uint64(77), 70), np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64))])
-    for budget in (0, 2, 20):
-        forest = simhash_dedup.Forest(len(keys))
-        one = np.array([0])
-        simhash_dedup.walk(keys, (one, one + len(keys), one, one + len(keys), one), budget, 0, forest)
-        near = np.bitwise_count(keys[:, None] ^ keys[None, :]) <= budget
-        want = union(zip(*np.nonzero(near), strict=True), range(len(keys)))
-        assert forest.roots(np.arange(len(keys))).tolist() == [want[k] for k in range(len(keys))]
+    one = np.sort(np.r_[rng.integers(0, 1 << 62, 300, dtype=np.uint64), np.repeat(np.uint64(77), 70), np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64))])
+    two = rng.integers(0, 1 << 62, (60, 2), dtype=np.uint64)
+    two = np.concatenate([two, two ^ (np.uint64(1) << rng.integers(0, 64, (60, 2), dtype=np.uint64)), two[:20]])
+    two = two[np.lexsort(two.T[::-1])]
+    for keys, budgets in ((one[:, None], (0, 2, 20)), (two, (0, 2, 40))):
+        for budget in budgets:
+            forest = simhash_dedup.Forest(len(keys))
+            lo, hi = np.array([0]), np.array([len(keys)])
+            simhash_dedup.walk(keys, (lo, hi, lo, hi), budget, forest)
+            near = np.bitwise_count(keys[:, None] ^ keys[None, :]).sum(axis=2) <= budget
+            want = union(zip(*np.nonzero(near), strict=True), range(len(keys)))
+            assert forest.roots(np.arange(len(keys))).tolist() == [want[k] for k in range(len(keys))]
+
+
+def test_fingerprints_of_bits():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 255, 256, 700):
+        h = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+        got = simhash_dedup.fingerprint(h)
+        for w in range(2):
+            assert int(got[w]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[:, w]) > n)
 
 
 def test_components(spark):
@@ -120,30 +133,64 @@ def test_components(spark):
     assert got == {n: r for n, r in want.items() if n != r}
 
 
-def test_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "BLOCK", 7)
+@pytest.mark.parametrize("limits", [{}, {"split": 3, "block": 7}])
+def test_near_copies(spark, limits):
+    """Against brute force: components of all pairs at 0.8, with routes whole and cut again and again."""
     rng = random.Random(9)
     words = [f"w{k}" for k in range(3000)]
-    rows, group = [], {}
-    for g in range(30):
-        text = [rng.choice(words) for _ in range(200)]
-        for c in range(rng.randrange(1, 25)):
+    rows = []
+    for _ in range(30):
+        text = [rng.choice(words) for _ in range(rng.choice([8, 60, 200]))]
+        for _ in range(rng.randrange(1, 25)):
             copy = list(text)
-            for at in rng.sample(range(200), rng.randrange(0, 3)):
+            for at in rng.sample(range(len(text)), rng.randrange(0, 1 + len(text) // 40)):
                 copy[at] = rng.choice(words)
-            group[len(rows)] = g
             rows.append((len(rows), " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.group for r in simhash_dedup.near_groups(docs).collect()}
-    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(196)} for d, t in rows}
-    for a in sets:
-        for b in sets:
-            like = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            assert like < 0.9 or got[a] == got[b]
-            assert group[a] == group[b] or got[a] != got[b]
-    kept = [r.doc_id for r in simhash_dedup.keep_one(docs).collect()]
-    assert len(kept) == len(set(got.values())) and {got[d] for d in kept} == set(got.values())
-    assert all(d == min(x for x in got if got[x] == got[d]) for d in kept)
+    got = {r.doc_id: r.group for r in simhash_dedup.near_groups(docs, **limits).collect()}
+    sets = {d: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert len(pairs) > 500 and found >= (0.98 if limits else 0.999) * len(pairs)
+    want = union(pairs, sets)
+    assert all(want[a] == want[b] for a in sets for b in sets if got[a] == got[b])
+    if not limits:
+        kept = [r.doc_id for r in simhash_dedup.keep_one(docs).collect()]
+        assert len(kept) == len(set(got.values())) and {got[d] for d in kept} == set(got.values())
+        assert all(d == min(x for x in got if got[x] == got[d]) for d in kept)
+
+
+def test_recall_at_the_similarity(spark):
+    """Pairs between 0.8 and 0.9, of short and of long texts, are found by the walk and accepted."""
+    rng = random.Random(2)
+    rows = []
+    for pair in range(400):
+        n = rng.choice([12, 30, 100, 500])
+        common = [f"c{pair}x{k}" for k in range(n + 4)]
+        own = rng.randrange(0, max(1, n // 8) + 1)
+        rows += [(2 * pair, " ".join(common + [f"a{pair}x{k}" for k in range(own)])), (2 * pair + 1, " ".join([f"b{pair}x{k}" for k in range(own)] + common))]
+    got = {r.doc_id: r.group for r in simhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in rows}
+    like = {d: len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in range(0, 800, 2)}
+    near = [d for d in like if like[d] >= 0.8]
+    assert sum(got[d] == got[d + 1] for d in near) >= 0.99 * len(near) > 100
+    assert all(got[d] != got[d + 1] for d in like if like[d] < 0.8)
+
+
+def test_common_passage(spark):
+    """A passage in every text makes one route of all; it is cut, and only the planted pairs are linked."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(120))
+    rows = []
+    for k in range(300):
+        own = [f"o{k - k % 2 if k % 10 < 2 else k}x{j}" for j in range(60)]
+        rows.append((k, passage + " " + " ".join(own) + (" end" if k % 2 else "")))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group for r in simhash_dedup.near_groups(docs, split=20).collect()}
+    for k in range(300):
+        same = [x for x in got if got[x] == got[k]]
+        assert len(same) == (2 if k % 10 < 2 else 1)
 
 
 def test_stage_on_documents(spark):
@@ -171,8 +218,8 @@ def test_near_copies_by_exact_similarity(spark):
     assert len(set(got.values())) == 90
 
 
-def test_near_copies_with_repeated_passages(spark, monkeypatch):
-    """Copies that differ in how often a passage recurs, and copies whose fingerprints lie beyond the walk's bits."""
+def test_near_copies_with_repeated_passages(spark):
+    """Copies that differ in how often a passage recurs."""
     rows = []
     for g in range(40):
         text = [f"w{g}x{k}" for k in range(404)]
@@ -180,10 +227,3 @@ def test_near_copies_with_repeated_passages(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.group for r in simhash_dedup.near_groups(docs).collect()}
     assert all(got[d] == got[d + 1] for d in range(0, 80, 2)) and len(set(got.values())) == 40
-    run = simhash_dedup._join_routes(0.8)
-    a, b = np.arange(1, 513) % 255 + 1, np.arange(1, 513) % 255 + 1
-    b[:20] = 0
-    table = {"key": [8, 8], "pair": [0, 0], "block": [0, 0], "node": [5, 6], "fp": [0, (1 << 40) - 1], "sketch": [x.astype(np.uint8).tobytes() for x in (a, b)], "keys": [[8, 1, 2, 3, 4, 5]] * 2, "size": [900, 890]}
-    for limit in (1, 64):
-        monkeypatch.setattr(simhash_dedup, "WALK_ROWS", limit)
-        assert [x.to_pylist() for x in run(iter([pa.RecordBatch.from_pydict(table)]))] == [[{"a": 6, "b": 5, "key": None, "pair": None}]]
