@@ -54,6 +54,23 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def staged() -> int:
+    """How many paths have been made so far."""
+    return len(_staged)
+
+
+def discard_since(count: int, keep: DataFrame) -> None:
+    """Deletes what was staged after the first ``count`` paths, but for ``keep``."""
+    kept = getattr(keep, "_staged_path", None)
+    rest = _staged[count:]
+    del _staged[count:]
+    for spark, path in rest:
+        if path == kept:
+            _staged.append((spark, path))
+        else:
+            remove(spark, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _staged:
