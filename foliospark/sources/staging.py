@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -54,6 +55,20 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+#: Names that Spark and Arrow give the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_filesystem(uri: str):
+    """(file system, path) of a Spark URI or a local path, for readers and writers over Arrow."""
+    from pyarrow import fs
+
+    scheme, sep, rest = uri.partition("://")
+    if not sep:
+        return fs.FileSystem.from_uri(f"file://{os.path.abspath(uri)}" if not uri.startswith("file:") else "file://" + uri[5:])
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def staged() -> int:
     """How many paths have been made so far."""
     return len(_staged)
