@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
@@ -70,8 +71,11 @@ def select_mapping(paths: set[str], known: dict) -> tuple[str, dict | None]:
 
 
 def _text(value) -> str:
+    """A field's text; half a surrogate pair, which JSON can name, becomes U+FFFD."""
     if value is None:
         return ""
+    if isinstance(value, str) and not value.isascii() and re.search("[\ud800-\udfff]", value):
+        return value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
     if isinstance(value, list):
         return "".join(_text(v.get("text") if isinstance(v, dict) else v) for v in value)
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
@@ -135,13 +139,13 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for x in b.column("record"):
-            try:
-                record = json.loads(x.as_py() or "null")
-            except ValueError:
-                record = None
-            key, mapping = select_mapping(set(field_paths(record)), known) if isinstance(record, dict) else (None, None)
-            text, spans = render(canonical_turns(record, mapping)) if mapping else (None, None)
-            rows.append((key, mapping and mapping["name"], text, spans and [{"start": a, "end": z} for a, z in spans] if mapping else None))
+            key = mapping = text = spans = None
+            # records nested deeper than the reader follows are treated as broken JSON
+            with contextlib.suppress(ValueError, RecursionError):
+                if isinstance(record := json.loads(x.as_py() or "null"), dict):
+                    key, mapping = select_mapping(set(field_paths(record)), known)
+                    text, spans = render(canonical_turns(record, mapping)) if mapping else (None, None)
+            rows.append((key, mapping["name"] if text is not None else None, text, [{"start": a, "end": z} for a, z in spans] if text is not None else None))
         kinds = (pa.string(), pa.string(), pa.string(), _SPANS)
         yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["key", "layout", "mapping", "formatted", "loss"])
 
@@ -150,7 +154,7 @@ def format_records(records: DataFrame) -> DataFrame:
     """(key, record) -> (key, layout, mapping, formatted, loss).
 
     ``record`` is JSON of any known layout; ``layout`` is the fingerprint of its field paths. Records of
-    unknown layouts, null ones and broken JSON stay, with null mapping and formatted text. Spans under
+    unknown layouts, null ones and broken or too deeply nested JSON stay, with null mapping and formatted text. Spans under
     the loss mask count characters of ``formatted``. One map, no shuffle.
     """
     kind = records.schema["key"].dataType.simpleString()
@@ -170,7 +174,12 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def conversation_records(turns: DataFrame) -> DataFrame:
-    """(key, record): one JSON record in the messages layout per conv_id, its rows by turn.
+    """(key, record): one JSON record per conv_id, its rows by turn, in the layout that its turns fit.
+
+    A question with its answer is a prompt and a response, with a system text before it if there is one; a
+    question whose first paragraph stands apart is an instruction with its input; a longer talk of user
+    and assistant is a share; all others are messages. Reading them takes the mapping that each
+    layout's fingerprint selects.
 
     A conversation is one training text, so its rows meet in one row; only they are gathered. Ties of
     turn are ordered by role and text, null turns come first, null roles and texts are empty, repeated
@@ -179,8 +188,22 @@ def conversation_records(turns: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     row = F.struct(F.col("turn").alias("turn"), text("role").alias("role"), text("text").alias("content"))
     gathered = turns.groupBy(F.col("conv_id").alias("key")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    roles = F.transform("rows", lambda x: x["role"])
+    said = lambda k: F.get("rows", F.lit(k))["content"]
+    are = lambda *names: roles == F.array(*map(F.lit, names))
+    json_of = lambda **fields: F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    lead = F.instr(said(0), "\n\n")
+    rest = F.substr(said(0), lead + 2, F.length(said(0)))
+    share = F.transform("rows", lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["content"].alias("value")))
     messages = F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return gathered.select("key", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    record = (
+        F.when(are("user", "assistant") & (lead > 0) & (rest != ""), json_of(instruction=F.substring(said(0), 1, lead - 1), input=rest, output=said(1)))
+        .when(are("user", "assistant"), json_of(prompt=said(0), response=said(1)))
+        .when(are("system", "user", "assistant") & (said(0) != ""), json_of(system=said(0), prompt=said(1), response=said(2)))
+        .when(F.forall(roles, lambda r: r.isin("user", "assistant")), json_of(conversations=share))
+        .otherwise(json_of(messages=messages))
+    )
+    return gathered.select("key", record.alias("record"))
 
 
 def format_digest(conversations: DataFrame) -> DataFrame:

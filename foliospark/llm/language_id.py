@@ -17,8 +17,8 @@ from foliospark.llm.support import stage_table
 
 #: Byte trigrams are hashed to so many bins.
 BINS = 1 << 16
-#: Labelled rows of the fit, in the order of a hash of doc_id; languages, the most frequent ones.
-MAX_LABELLED, MAX_LANGUAGES = 20_000, 32
+#: Labelled rows of the fit, in the order of a hash of doc_id. Every language among them can be an answer.
+MAX_LABELLED = 20_000
 #: Trigrams of a text that count as independent evidence, at most.
 EFFECTIVE = 40.0
 #: How likely a declared language, or an address suffix, names the true one.
@@ -30,25 +30,58 @@ SURE = 0.5
 #: Top-level domains that speak for a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|footer|header|template)\b.*?</\1\s*>")
-_MAIN = re.compile(r"(?is)<(article|main)\b[^>]*>(.*)</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
+_DROPPED = ("script", "style", "nav", "footer", "header", "template")
+_OPEN = re.compile(rf"(?i)<!--|<({'|'.join(_DROPPED)})\b")
+_CLOSE = {x: re.compile(rf"(?i)</{x}\s*>") for x in (*_DROPPED, "article", "main")}
+_MAIN = {x: re.compile(rf"(?i)<{x}\b[^<>]*>") for x in ("article", "main")}
+_TAG = re.compile(r"<[^<>]*>")
+_HTML = re.compile(r"(?i)<html\b([^<>]*)")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})\b""")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 _SEGMENT = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[-_][a-z]{2})?(?:[/?#]|$)")
 
 
+def _without_parts(s: str) -> str:
+    """The page without comments, scripts and the like: one pass forward. What is never closed stays."""
+    out, at, begun = [], 0, 0
+    unclosed: set[str] = set()
+    while m := _OPEN.search(s, at):
+        name = (m[1] or "").lower()
+        end = -1
+        if name not in unclosed:
+            if name:
+                end = c.end() if (c := _CLOSE[name].search(s, m.end())) else -1
+            else:
+                end = k + 3 if (k := s.find("-->", m.end())) >= 0 else -1
+        if end < 0:
+            unclosed.add(name)
+            at = m.end()
+        else:
+            out += s[begun : m.start()], " "
+            at = begun = end
+    return "".join(out) + s[begun:] if out else s
+
+
 def page_text(source: str | None) -> str:
-    """The readable text of a page: its article or main part if it has one, without markup."""
-    s = _DROP.sub(" ", source or "")
-    if m := _MAIN.search(s):
-        s = m[2]
+    """The readable text of a page: its article or main part if it has one, without markup. Linear in its length."""
+    s = _without_parts(source or "")
+    parts = []
+    for name, opening in _MAIN.items():
+        if m := opening.search(s):
+            last = None
+            for last in _CLOSE[name].finditer(s, m.end()):
+                pass
+            if last:
+                parts.append((m.start(), m.end(), last.start()))
+    if parts:
+        _, a, b = min(parts)
+        s = s[a:b]
     return html.unescape(_TAG.sub(" ", s))
 
 
 def page_evidence(url: str | None, source: str | None) -> tuple[str | None, str | None, str | None]:
     """(host, declared language, language of the address) of a page; null where there is none."""
-    declared = _LANG.search(source or "")
+    declared = next((x for m in _HTML.finditer(source or "") if (x := _LANG.search(m[1]))), None)
     host = _HOST.match(url or "")
     segment = _SEGMENT.match(url or "")
     name = host[1].lower() if host else None
@@ -83,17 +116,16 @@ def _blocks(values: list, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
 
 
 def _count(languages: list[str]):
+    place = {x: k for k, x in enumerate(languages)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BINS), dtype=np.int64)
-        place = {x: k for k, x in enumerate(languages)}
         for b in batches:
             texts = pc.fill_null(b.column("text"), "").to_pylist()
+            kinds = np.array([place[x] for x in b.column("lang").to_pylist()], dtype=np.int64)
             for i, j in _blocks(texts):
                 code, bounds = trigrams(texts[i:j])
-                for k, lang in enumerate(b.column("lang").slice(i, j - i).to_pylist()):
-                    total[place[lang]] += np.bincount(code[bounds[k] : bounds[k + 1]], minlength=BINS)
-        kind, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(total[kind, at])], ["kind", "bin", "n"])
+                at, n = np.unique(np.repeat(kinds[i:j], np.diff(bounds)) * BINS + code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at // BINS), pa.array(at % BINS), pa.array(n)], ["kind", "bin", "n"])
 
     return run
 
@@ -118,14 +150,14 @@ class Model:
 
 
 def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Trigram likelihoods by language from at most ``max_labelled`` labelled documents."""
+    """Trigram likelihoods by language from at most ``max_labelled`` labelled documents, 256 KB a language."""
     labelled = docs.where("doc_id is not null and lang is not null and lang <> ''")
     chosen = labelled.select(F.col("doc_id").alias("id"), F.col("lang").alias("id_lang")).orderBy(F.xxhash64("id"), "id", "id_lang").limit(max_labelled)
-    shares = chosen.groupBy("id_lang").count().orderBy(F.desc("count"), "id_lang").limit(MAX_LANGUAGES).collect()
+    shares = chosen.groupBy("id_lang").count().orderBy("id_lang").collect()
     languages = sorted(r[0] for r in shares)
     if not languages:
         return Model(["und"], np.zeros((BINS, 1), np.float32), np.ones(1))
-    rows = labelled.select("doc_id", "lang", F.col("text").cast("string")).join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("id_lang"))).where(F.col("lang").isin(languages))
+    rows = labelled.select("doc_id", "lang", F.col("text").cast("string")).join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("id_lang")))
     found = rows.select("lang", "text").mapInArrow(_count(languages), "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((len(languages), BINS))
     if found.num_rows:
@@ -215,7 +247,8 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     Rows: kind ('page' or 'document'), page_id, doc_id (one of them null), host, declared, suffix,
     lang_found, probability, kept (probability of at least SURE). A document has no markup or address;
-    its source stands for the host. The lang column is read for the bounded fit only.
+    its source stands for the host. The lang column is read for the bounded fit only; a language that no
+    row of the fit has is no answer.
 
     Empty and null texts are judged by the other evidence, and without any by the prior of all rows.
     Null urls and sources have no host; null ids and repeated rows stay; extra columns are ignored; an

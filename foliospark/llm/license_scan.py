@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,8 @@ NOTICES = (
     ("spdx license identifier", "spdx"),
     ("all rights reserved", "all-rights-reserved"),
 )
-#: One error is allowed for so many characters of a notice.
-CHARS_PER_ERROR = 10
+#: One error is allowed for so many characters of a notice, and none in words of so few letters.
+CHARS_PER_ERROR, EXACT_WORD = 10, 4
 
 #: Bytes of words in lower case, everything else a space: 0-9, a-z and all of 0x80 and above.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -61,16 +63,17 @@ def split_seeds(phrase: str, errors: int) -> list[tuple[int, str]]:
 
 @lru_cache(maxsize=4)
 def _machine(phrases: tuple, notices: tuple, chars_per_error: int):
-    """An automaton over all seeds, and the phrases with the places of their characters as bits."""
+    """An automaton over all seeds, and the phrases with patterns that allow their errors."""
     import ahocorasick
+    import regex
 
     seeds: dict[str, list[tuple[int, int]]] = {}
     patterns = []
     for k, (phrase, label) in enumerate([*phrases, *notices]):
         raw = phrase.encode().decode("latin-1")
         errors = 0 if k < len(phrases) else len(raw) // chars_per_error
-        places = {c: sum(1 << i for i, x in enumerate(raw) if x == c) for c in set(raw)}
-        patterns.append((raw, label, errors, places))
+        pattern = regex.compile(f"(?b)(?:{regex.escape(raw, literal_spaces=True)}){{e<={errors}}}")
+        patterns.append((raw, label, errors, pattern, [x for x in raw.split(" ") if len(x) <= EXACT_WORD]))
         # the spaces around a phrase are part of an exact seed, so that short phrases start no search inside words
         for at, seed in split_seeds(f" {raw} ", errors):
             seeds.setdefault(seed, []).append((k, at))
@@ -81,80 +84,92 @@ def _machine(phrases: tuple, notices: tuple, chars_per_error: int):
     return machine, patterns
 
 
-def _matches(folded: str, a: int, b: int, length: int, errors: int, places: dict[str, int]) -> list[tuple[int, int, int]]:
-    """(errors, start, end) of whole words of [a, b) within the errors of a phrase; of those that overlap the best.
+def _matches(folded: str, starts: list[int], raw: str, errors: int, pattern, exact: list[str]) -> list[tuple[int, int, int]]:
+    """(errors, start, end) of runs of whole words that begin at one of the places and are within the errors of a phrase.
 
-    From each word start, the edit distances to all prefixes of the text by Myers' bit vectors.
+    A run's length and letters rule most out: each letter of the phrase that it lacks is an error. The rest
+    is matched from end to end by the pattern, whose best match has the fewest errors.
     """
-    mask, last = (1 << length) - 1, 1 << (length - 1)
     near = []
-    space = folded.find(" ", a, b)
-    while space >= 0 and space + 1 + length - errors < b:
-        start, plus, minus, score = space + 1, mask, 0, length
-        for end in range(start, min(b, start + length + errors + 1)):
-            c = folded[end]
-            if c == " " and score <= errors and end > start:
-                near.append((score, start, end))
-            same = places.get(c, 0)
-            down = same | minus
-            across = (((same & plus) + plus) ^ plus) | same
-            up, less = minus | ~(across | plus) & mask, plus & across
-            score += bool(up & last) - bool(less & last)
-            up, less = (up << 1 | 1) & mask, less << 1 & mask
-            plus, minus = (less | ~(down | up)) & mask, up & down
-        space = folded.find(" ", space + 1, b)
+    letters = frozenset(raw)
+    for start in starts:
+        least = max(1, len(raw) - errors)
+        reach = folded[start : start + len(raw) + errors + 1]
+        if exact and not _holds(exact, reach):
+            continue
+        end = reach.find(" ", least)
+        while end >= 0:
+            if len(letters.difference(reach[:end])) <= errors and (m := pattern.fullmatch(reach, 0, end)):
+                wrong = sum(m.fuzzy_counts)
+                if wrong == 0 or _holds(exact, reach[:end]):
+                    near.append((wrong, start, start + end))
+            end = reach.find(" ", end + 1)
+    return near
+
+
+def _best(near: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of matches (errors, start, end) that overlap the one with the fewest errors, then the first."""
     best: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for x in sorted(near):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
+        at = bisect(starts, x[1])
+        if (at == 0 or ends[at - 1] <= x[1]) and (at == len(starts) or x[2] <= starts[at]):
             best.append(x)
+            starts.insert(at, x[1])
+            ends.insert(at, x[2])
     return best
 
 
+def _holds(words: list[str], text: str) -> bool:
+    """Whether the words stand in the text, in this order."""
+    rest = iter(text.split(" "))
+    return all(w in rest for w in words)
+
+
 def find_notices(folded: str, phrases=PHRASES, notices=NOTICES, chars_per_error: int = CHARS_PER_ERROR) -> tuple[list[tuple[int, str]], list[tuple[int, int, str, int, float]]]:
     """Base places (character, label), and verified notices (start, end, label, errors, likeness), sorted.
 
-    A seed's place fixes where its phrase may lie, give or take the errors; places of one phrase that
-    overlap are joined, and inside every run of whole words is compared that could be the phrase with its errors.
+    A seed's place fixes where its phrase may begin, give or take the errors; from the words that begin there,
+    every run of whole words is compared that could be the phrase with its errors. Of those that overlap the
+    best stays. Words of EXACT_WORD letters or fewer must stand as they are: one edit makes another word of them.
     """
     machine, patterns = _machine(tuple(phrases), tuple(notices), chars_per_error)
-    windows: dict[int, list[list[int]]] = {}
+    begins: dict[int, set[int]] = {}
     base = []
     found = []
     for end, (n, uses) in machine.iter(folded):
         for k, at in uses:
-            raw, label, errors, _ = patterns[k]
-            start = end + 1 - n - at
+            raw, label, errors, *_ = patterns[k]
+            start = end + 2 - n - at
             if errors == 0:
                 if k < len(phrases):
-                    base.append((start + 1, label))
+                    base.append((start, label))
                 else:
-                    found.append((start + 1, start + 1 + len(raw), label, 0, 1.0))
+                    found.append((start, start + len(raw), label, 0, 1.0))
                 continue
-            span = [max(0, start - errors), start + len(raw) + 2 + errors]
-            spans = windows.setdefault(k, [])
-            if spans and span[0] <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], span[1])
-                spans[-1][0] = min(spans[-1][0], span[0])
-            else:
-                spans.append(span)
-    for k, spans in windows.items():
-        raw, label, errors, places = patterns[k]
-        for a, b in spans:
-            found += [(x, y, label, wrong, 1 - wrong / len(raw)) for wrong, x, y in _matches(folded, a, min(b, len(folded)), len(raw), errors, places)]
+            space = folded.find(" ", max(0, start - errors - 1), start + errors)
+            while space >= 0:
+                begins.setdefault(k, set()).add(space + 1)
+                space = folded.find(" ", space + 1, start + errors)
+    for k, starts in begins.items():
+        raw, label, errors, pattern, exact = patterns[k]
+        near = _matches(folded, sorted(starts), raw, errors, pattern, exact)
+        found += [(x, y, label, wrong, 1 - wrong / len(raw)) for wrong, x, y in _best(near)]
     return sorted(set(base)), sorted(set(found))
 
 
 def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float, list[dict]]:
     folded, n = fold(text)
     base, found = find_notices(folded)
-    first = last = None
-    if base:
-        first = folded.count(" ", 0, base[0][0]) - 1
-        last = folded.count(" ", 0, base[-1][0]) - 1
+    # spaces before a character, less the one at the beginning, are the words before it
+    gaps = np.flatnonzero(np.frombuffer(folded.encode("latin-1"), dtype=np.uint8) == 32) if base or found else np.zeros(0)
+    word = lambda at: int(np.searchsorted(gaps, at)) - 1
+    first, last = (word(base[0][0]), word(base[-1][0])) if base else (None, None)
     labels = {x[1] for x in base}
     every = labels | {x[2] for x in found}
     score = max([1.0] * bool(base) + [x[4] for x in found], default=0.0)
-    spans = [{"first_word": folded.count(" ", 0, a) - 1, "words": folded.count(" ", a, b) + 1, "label": label, "errors": wrong} for a, b, label, wrong, _ in found]
+    spans = [{"first_word": word(a), "words": word(b) - word(a) + 1, "label": label, "errors": wrong} for a, b, label, wrong, _ in found]
     return n, len(base), first, last, ",".join(sorted(labels)), ",".join(sorted(every)), score, spans
 
 

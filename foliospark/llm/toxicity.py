@@ -19,7 +19,9 @@ STEMS = (7, 6, 5, 4, 3)
 #: Labelled rows of which the model is fitted, in the order of a hash of doc_id: a bound on the broadcast.
 MAX_LABELLED = 20_000
 #: Weight of the corpus prior in words; z from which a word's log-odds count; drift of every other word.
-PRIOR_WORDS, Z_LEAST, DRIFT = 500.0, 4.5, 0.1
+PRIOR_WORDS, Z_LEAST, DRIFT = 500.0, 5.0, 0.1
+#: Folds of the labelled rows; how far the logistic step makes up for toxic rows being fewer (0 not, 1 wholly).
+FOLDS, BALANCE = 5, 0.5
 #: Expected chance segments a text, below which a segment is significant.
 E_VALUE = 0.05
 EULER = 0.5772156649
@@ -47,26 +49,30 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return coded.indices.to_numpy().astype(np.int64), bounds, table
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic or null, text) -> (class, bin, n): documents that hold a feature; class 2 where there is no label."""
-    total = np.zeros((3, BINS), dtype=np.int64)
-    for b in batches:
-        code, bounds, table = encode(b.column("text"))
-        kind = pc.fill_null(b.column("toxic"), 2).to_numpy()
-        # a word counts once a document, or a text that repeats one word would outweigh the rest
-        once = np.unique(np.repeat(np.arange(len(kind)), np.diff(bounds)) * max(1, len(table)) + code) if len(code) else code
-        held, code = np.divmod(once, max(1, len(table)))
-        for column in table.T:
-            total += np.bincount(kind[held] * BINS + column[code], minlength=3 * BINS).reshape(3, BINS)
-    kind, at = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(total[kind, at])], ["kind", "bin", "n"])
-
-
-def _totals(docs: DataFrame) -> np.ndarray:
-    """Counts by class and bin; at most 3 * BINS numbers reach the driver."""
-    counted = docs.select("toxic", "text").mapInArrow(_count, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
+def _count(kinds: int):
+    """(kind, text) -> (kind, bin, n): documents of each kind that hold a feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((kinds, BINS), dtype=np.int64)
+        for b in batches:
+            code, bounds, table = encode(b.column("text"))
+            kind = b.column("kind").to_numpy()
+            # a word counts once a document, or a text that repeats one word would outweigh the rest
+            once = np.unique(np.repeat(np.arange(len(kind)), np.diff(bounds)) * max(1, len(table)) + code) if len(code) else code
+            held, code = np.divmod(once, max(1, len(table)))
+            for column in table.T:
+                total += np.bincount(kind[held] * BINS + column[code], minlength=kinds * BINS).reshape(kinds, BINS)
+        kind, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(total[kind, at])], ["kind", "bin", "n"])
+
+    return run
+
+
+def _totals(docs: DataFrame, kinds: int) -> np.ndarray:
+    """Counts by kind and bin of (kind, text); at most kinds * BINS numbers reach the driver."""
+    counted = docs.select("kind", "text").mapInArrow(_count(kinds), "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
-    total = np.zeros((3, BINS))
+    total = np.zeros((kinds, BINS))
     if found.num_rows:
         total[found["kind"].to_numpy(), found["bin"].to_numpy()] = found["n"].to_numpy()
     total[:, 0] = 0
@@ -74,9 +80,9 @@ def _totals(docs: DataFrame) -> np.ndarray:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """(2, BINS): log-odds with an informative Dirichlet prior, the corpus's shares, and their significance.
+    """Each bin's log-odds with an informative Dirichlet prior, the corpus's shares; 0 where it is not significant.
 
-    The latter is the signed root of the likelihood ratio against one rate for both classes, in the
+    The significance is the signed root of the likelihood ratio against one rate for both classes, in the
     units of a normal z; unlike the ratio of log-odds to their deviation it holds where a count is 0.
     """
     prior = PRIOR_WORDS * (corpus + 0.01) / (corpus + 0.01).sum()
@@ -91,14 +97,14 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray) -> np.nda
     gain = lambda y, e: y * np.log(np.maximum(y, 1e-12) / np.maximum(e, 1e-12))
     z = np.sqrt(np.maximum(0.0, 2 * (gain(toxic, both * share) + gain(clean, both * (1 - share)))))
     z[0] = 0.0
-    return np.stack([delta, z])
+    return np.where(z >= Z_LEAST, delta, 0.0).astype(np.float32) if toxic.any() and clean.any() else np.zeros(BINS, np.float32)
 
 
 def word_scores(table: np.ndarray, odds: np.ndarray) -> np.ndarray:
     """Each code's score: the log-odds of its most special significant feature, if any, less the drift."""
-    sure = odds[1][table] >= Z_LEAST
-    best = table[np.arange(len(table)), sure.argmax(axis=1)]
-    return np.where(sure.any(axis=1), odds[0][best], 0.0) - DRIFT
+    found = odds[table]
+    best = (found != 0).argmax(axis=1)
+    return found[np.arange(len(table)), best].astype(np.float64) - DRIFT
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -164,17 +170,18 @@ def _rate(score: np.ndarray, share: np.ndarray) -> float:
 GRID = 20
 
 
-def _tops(odds: np.ndarray):
-    """(toxic, text) -> (toxic, words, sums of the maximal segments, counts of the scores on the grid)."""
+def _tops(odds: list[np.ndarray]):
+    """(toxic, fold, text) -> (toxic, words, sums of the maximal segments, counts of the scores on the grid), by the odds of each row's fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code, bounds, table = encode(b.column("text"))
-            value = word_scores(table, odds)[code]
+            values = [word_scores(table, x) for x in odds]
             sums, grid = [], []
-            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-                sums.append([s for _, _, s in segments(value[x:y])])
-                at, n = np.unique(np.rint(value[x:y] * GRID).astype(np.int64), return_counts=True)
+            for x, y, fold in zip(bounds[:-1], bounds[1:], b.column("fold").to_pylist(), strict=True):
+                value = values[fold][code[x:y]]
+                sums.append([s for _, _, s in segments(value)])
+                at, n = np.unique(np.rint(value * GRID).astype(np.int64), return_counts=True)
                 grid.append(dict(zip(at.tolist(), n.tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(np.diff(bounds)), pa.array(sums, pa.list_(pa.float64())), pa.array([list(g.items()) for g in grid], pa.map_(pa.int64(), pa.int64()))], ["toxic", "words", "sums", "grid"])
 
@@ -185,16 +192,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """A model from all documents' word counts and at most ``max_labelled`` labelled training rows.
 
     Labels of rows whose crc32(doc_id) is divisible by 5 are never read. The labelled rows are few by
-    their bound, so they are broadcast and the texts stay where they are.
+    their bound, so they are broadcast and the texts stay where they are. The extreme-value law and the
+    logistic step are fitted to scores that each row gets from the log-odds of the other FOLDS - 1 folds:
+    by log-odds that have seen the row itself, toxic rows would look easier than unseen ones are.
     """
     train = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("id"), F.col("toxic").cast("long").alias("toxic")).where(F.crc32(F.col("id").cast("string")) % 5 != 0)
     train = train.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_labelled)
     texts = docs.select("doc_id", F.col("text").cast("string"))
-    labelled = texts.join(F.broadcast(train), F.col("doc_id") == F.col("id")).select("toxic", "text")
-    corpus = _totals(texts.select(F.lit(None).cast("long").alias("toxic"), "text"))[2]
-    counts = _totals(labelled)
-    odds = log_odds(counts[1], counts[0], corpus) if counts[0].sum() and counts[1].sum() else np.zeros((2, BINS))
-    tops = labelled.mapInArrow(_tops(odds), "toxic long, words long, sums array<double>, grid map<bigint,bigint>").toArrow()
+    fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS))
+    labelled = texts.join(F.broadcast(train), F.col("doc_id") == F.col("id")).select("toxic", fold.alias("fold"), "text")
+    corpus = _totals(texts.select(F.lit(0).cast("long").alias("kind"), "text"), 1)[0]
+    counts = _totals(labelled.select((F.col("toxic") * FOLDS + F.col("fold")).alias("kind"), "text"), 2 * FOLDS).reshape(2, FOLDS, BINS)
+    every = counts.sum(axis=1)
+    odds = log_odds(every[1], every[0], corpus)
+    apart = [log_odds(every[1] - counts[1, k], every[0] - counts[0, k], corpus) for k in range(FOLDS)]
+    tops = labelled.mapInArrow(_tops(apart), "toxic long, words long, sums array<double>, grid map<bigint,bigint>").toArrow()
     toxic, words = tops["toxic"].to_numpy(), np.maximum(1, tops["words"].to_numpy())
     sums = tops["sums"].to_pylist()
     seen: dict[int, int] = {}
@@ -213,13 +225,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit by Newton steps, lightly regularised towards slope 1, offset -4."""
+    """Slope and offset of a logistic fit by Newton steps, lightly regularised towards slope 1, offset -4.
+
+    A toxic row weighs more, by BALANCE of the ratio of clean to toxic ones in powers: a missed one costs more.
+    """
+    weight = np.where(y > 0, max(1.0, (len(y) - y.sum()) / max(1.0, y.sum())) ** BALANCE, 1.0)
     w = np.array([1.0, -4.0])
     pull = np.array([0.05, 0.05])
     a = np.c_[x, np.ones(len(x))]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull), a.T @ (y - p) - pull * (w - [1.0, -4.0]))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(pull), a.T @ (weight * (y - p)) - pull * (w - [1.0, -4.0]))
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
