@@ -30,8 +30,8 @@ K1, B, RANKED = 1.2, 0.75, 64
 DENSE = 4
 #: Texts, and bytes of them, whose words are looked up at once; documents whose ids are put together at once.
 TEXTS_AT_ONCE, BYTES_AT_ONCE, ROWS_AT_ONCE = 10_000, 8 << 20, 200
-#: Words whose ids a task remembers, as numbers in arrays; beyond them it begins anew.
-WORDS_KEPT = 1 << 20
+#: Words whose ids a Python worker remembers, the first it meets, as numbers in arrays: 17 MB at most.
+WORDS_KEPT = 1 << 19
 
 
 def default_tokenizer() -> str:
@@ -106,11 +106,11 @@ def _encode_each(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Ids of the words that a task has met, found by 128-bit hashes of the words."""
+    """Ids of the words that a worker has met, found by 128-bit hashes of the words."""
 
     def __init__(self):
         self.key = np.zeros((0, 2), dtype=np.uint64)
-        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.begin, self.size, self.flat = np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
 
     @staticmethod
     def hashes(words: list[str]) -> np.ndarray:
@@ -124,16 +124,25 @@ class Words:
         return np.where((self.key[at] == key).all(axis=1), at, -1)
 
     def learn(self, key: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
-        if len(self.key) + len(key) > WORDS_KEPT:
-            self.__init__()
+        """Remembers words while there is room; long ones are looked up anew."""
+        keep = np.flatnonzero(size < 32)[: WORDS_KEPT - len(self.key)]
+        if not len(keep):
+            return
+        flat, key, size = flat[ranges((np.cumsum(size) - size)[keep], size[keep])], key[keep], size[keep]
         begin = np.cumsum(size) - size + len(self.flat)
         both = np.concatenate([self.key, key])
         order = np.argsort(both[:, 0], kind="stable")
         self.key = both[order]
-        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        self.begin = np.concatenate([self.begin, begin.astype(np.uint32)])[order]
+        self.size = np.concatenate([self.size, size.astype(np.uint8)])[order]
         self.flat = np.concatenate([self.flat, flat])
 
 
+@lru_cache(maxsize=1)
+def _known(path: str) -> Words:
+    return Words()
+
+
 def _chunk_ids(path: str, chunks: pa.Array, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, begin, size) of chunks between white space. The tokenizer joins nothing across it, and lowers case.
 
@@ -156,7 +165,8 @@ def _chunk_ids(path: str, chunks: pa.Array, known: Words) -> tuple[np.ndarray, n
     flat, size = _encode(tok, ends, [words[k] for k in late])
     place = np.empty(len(words), dtype=np.int64)
     place[late] = pieces.add(flat, size) + np.arange(len(late))
-    place[own] = pieces.add(known.flat[ranges(known.begin[at[own]], known.size[at[own]])], known.size[at[own]]) + np.arange(int(own.sum()))
+    begin, n = known.begin[at[own]].astype(np.int64), known.size[at[own]].astype(np.int64)
+    place[own] = pieces.add(known.flat[ranges(begin, n)], n) + np.arange(len(n))
     known.learn(key[late], flat, size)
     pair[simple, 0] = place[base.indices.to_numpy()]
     pair[simple, 1] = pieces.add(*_encode_each(tok, tail.dictionary.to_pylist())) + tail.indices.to_numpy()
@@ -236,7 +246,7 @@ def _tokenize(path: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = np.zeros(vocabulary + 2, dtype=np.int64)
         seen = np.zeros((200, vocabulary), dtype=bool)
-        id_type, known = None, Words()
+        id_type, known = None, _known(path)
         for b in batches:
             id_type, done = b.schema.field("doc_id").type, 0
             for ids, bounds in (x for part in blocks(b.column("text")) for x in token_ids(path, part, known)):
@@ -252,7 +262,7 @@ def _tokenize(path: str, vocabulary: int):
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(n)), pa.array(sig), pa.array(n), packed, pa.nulls(len(n), pa.binary())], ["doc_id", "sig", "n", "ids", "df"])
                 done += len(n)
-        del seen, known
+        del seen
         _give_back()
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.astype("<i8").tobytes()], pa.binary())], ["doc_id", "sig", "n", "ids", "df"])
