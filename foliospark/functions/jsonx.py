@@ -95,13 +95,13 @@ def leaf_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Long enough string leaves of a JSON text, by line, in the document's own order.
 
     Variants sort their keys, so this is the one JSON function that needs Python; it goes over Arrow
-    batches with a stack of its own, so that depth is no limit. Broken JSON and null give null.
+    batches with a stack of its own. Broken JSON, null, and nesting beyond the reader's depth give null.
     """
 
     def one(text):
         try:
             value = json.loads(text)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
         out: list[str] = []
         _leaves(value, out)

@@ -28,7 +28,7 @@ OCR_FAILED, SPEECH_FAILED = "[🖼️ 图片解析失败: {0}]", "[🎬 视频
 TABLE_CAPTION, PLAIN_TABLE_CAPTION = "[📊 提取到精美表格数据]", "[📊 表格数据]"
 
 CANVAS, CANVAS_INCHES = (1280, 720), (13.333, 7.5)
-DECK_AUTHOR, DECK_TITLE = "灵犀智课", "项目 {0} 演示文稿"
+DECK_TITLE = "项目 {0} 演示文稿"
 UNNAMED_PAGE, GAME_LINK = "未命名页面", "🎮 点击启动课堂互动小游戏"
 PLACEHOLDER = "/*INJECT_DATA*/"
 DEFAULT_GAME = "memory_match"
@@ -37,6 +37,8 @@ LESSON_TITLE, UNNAMED_COURSE, ANYONE = "教 学 详 案", "未命名课程", "
 DEFAULT_MINUTES, DEFAULT_METHODS = 45, ("讲授法", "案例分析法")
 METHODS_JOIN, POINTS_JOIN, NO_POINTS = "、", "；", "详见教学过程"
 DIFFICULT, KEY, PLAIN = "🔥[难点] ", "⭐[重点] ", "🔸 "
+NO_PAGES = "未能从大纲中提取出有效页面"
+CELL_FILL = "EFEFEF"
 HOMEWORK = "结合本节课重点，完成课后相关练习，并进行复盘总结。"
 INTERACTION = "讲授与演示"
 KEPT_FILES, KEPT_HOURS, TOKEN_MINUTES = ("template.pptx", ".gitkeep"), 24, 1440
@@ -45,6 +47,9 @@ HEADING_LOOK = (40, True, "#1A202C", 80, 60, 1120, 80)
 BODY_LOOK, BODY_WIDTH_BESIDE_IMAGE = (22, False, "#4A5568", 80, 160, 1120, 450), 600
 IMAGE_LOOK = (None, False, None, 750, 160, 450, 450)
 GAME_LOOK = (18, True, "#0070C0", 80, 620, 400, 50)
+# What a renderer assumes: width, height, text and link size, link colour, line spacing, font; site of links.
+PLAIN_BOX, TEXT_SIZE, LINK_SIZE, LINK_COLOR, LINE_SPACING, FONT = (800, 100), 20, 18, "#0070C0", 1.3, "Microsoft YaHei"
+SITE = "http://127.0.0.1:8000"
 NUMBER_LOOK = (14, False, "#A0AEC0", 1150, 680, 100, 30)
 
 MINUTES = "{0} 分钟"

@@ -28,18 +28,30 @@ def shuffled(deck: DataFrame, seed: int = 0) -> DataFrame:
 def flips(events: DataFrame) -> DataFrame:
     """(game_id, at, pair_id, side) in order -> moves of two flips: (game_id, move, at, matched).
 
-    Consecutive flips of a game make a move; the last one alone makes none. A flip of the same card
-    as its partner is no match.
+    A flip of the open card, or of one whose pair is found, counts for nothing. The second flip that counts
+    ends the move: both cards of a pair stay open, others are turned back. A last open card makes no move.
+    A game's flips are gathered into one row and gone through in order.
     """
-    order = Window.partitionBy("game_id").orderBy("at", "pair_id", "side")
-    n = (F.row_number().over(order) - 1).alias("n")
-    rows = events.select("game_id", "at", "pair_id", "side", n, F.lead("pair_id").over(order).alias("next_pair"), F.lead("side").over(order).alias("next_side"))
-    rows = rows.where("n % 2 = 0 and next_pair is not null")
-    return rows.select("game_id", (F.col("n") / 2).cast("long").alias("move"), "at", ((F.col("pair_id") == F.col("next_pair")) & (F.col("side") != F.col("next_side"))).alias("matched"))
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema if f.name in ("at", "pair_id", "side")}
+    card = f"struct<at:{kinds['at']},pair_id:{kinds['pair_id']},side:{kinds['side']}>"
+    start = F.struct(F.lit(None).cast(card).alias("open"), F.array().cast(f"array<{kinds['pair_id']}>").alias("found"), F.array().cast(f"array<struct<at:{kinds['at']},matched:boolean>>").alias("moves"))
+
+    def flip(state, x):
+        first = state["open"]
+        same = first["pair_id"] == x["pair_id"]
+        idle = F.array_contains(state["found"], x["pair_id"]) | F.coalesce(same & (first["side"] == x["side"]), F.lit(False))
+        opened = F.struct(x.alias("open"), state["found"].alias("found"), state["moves"].alias("moves"))
+        found = F.when(same, F.array_append(state["found"], x["pair_id"])).otherwise(state["found"])
+        moved = F.struct(F.lit(None).cast(card).alias("open"), found.alias("found"), F.array_append(state["moves"], F.struct(first["at"].alias("at"), same.alias("matched"))).alias("moves"))
+        return F.when(idle, state).when(first.isNull(), opened).otherwise(moved)
+
+    rows = events.groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct("at", "pair_id", "side"))).alias("flips"))
+    played = rows.select("game_id", F.posexplode(F.aggregate("flips", start, flip)["moves"]).alias("move", "m"))
+    return played.select("game_id", F.col("move").cast("long").alias("move"), "m.at", "m.matched")
 
 
 def progress(moves: DataFrame, deck: DataFrame) -> DataFrame:
-    """(game_id, matched_cards, cards, won)."""
+    """(game_id, matched_cards, cards, won): two cards for each move that found a pair."""
     matched = moves.groupBy("game_id").agg((2 * F.count_if("matched")).alias("matched_cards"))
     total = deck.groupBy("game_id").agg(F.count("*").alias("cards"))
     return total.join(matched, "game_id", "left").select("game_id", F.coalesce("matched_cards", F.lit(0)).cast("long").alias("matched_cards"), "cards", F.coalesce(F.col("matched_cards") == F.col("cards"), F.lit(False)).alias("won"))

@@ -29,7 +29,8 @@ def _blocks(heading, body):
 def route_documents(docs: DataFrame) -> DataFrame:
     """(file, pos, block, markdown): one row per section, by layer; empty bodies give none.
 
-    Every layer is one branch over the same scan; sections keep their place in chapters and pages.
+    One pass: each document's layer chooses the list of its blocks, which is exploded. Sections keep their
+    place in chapters and pages.
     """
     v = docs.select("file", "pos", F.try_parse_json("doc").alias("v"), "doc")
     layer = jsonx.get(F.col("v"), "$.layer", default=F.lit(w.UNKNOWN_LAYER))
@@ -40,31 +41,38 @@ def route_documents(docs: DataFrame) -> DataFrame:
         value = F.try_variant_get("v", path, "variant")
         return F.when(F.schema_of_variant(value) == "STRING", F.to_json(value)).otherwise(F.get_json_object("doc", path))
 
-    known = ("textbook", "resource", "syllabus", "hotspot")
-    keep = ("file", "pos", "block", "heading", "body")
+    is_ = lambda name: F.col("layer") == name
+    path = {"syllabus": "$.data.knowledge_points", "hotspot": "$.data.hotspot_item"}
+    loose = F.when(is_("syllabus"), piece(path["syllabus"])).when(is_("hotspot"), piece(path["hotspot"])).when(~F.coalesce(F.col("layer").isin("textbook", "resource"), F.lit(False)), piece("$.data"))
+    v = v.withColumn("leaves", jsonx.leaf_text(loose))
+    block = lambda at, heading, body, always=False: F.struct(F.lit(at).cast("long").alias("block") if isinstance(at, int) else at.cast("long").alias("block"), heading.alias("heading"), t.clean_text(body).alias("body"), (F.lit(always) if isinstance(always, bool) else always).alias("always"))
+    value = lambda path, default: jsonx.get(F.col("v"), path, default=F.lit(default))
 
-    chapters = F.posexplode(jsonx.get(F.col("v"), "$.data.chapters", "array<variant>")).alias("c", "chapter")
-    book = v.where("layer = 'textbook'").select("file", "pos", jsonx.get(F.col("v"), "$.data.textbook_info.book_title", default=F.lit(w.UNNAMED_BOOK)).alias("book"), chapters)
-    book = book.select("file", "pos", "book", "c", "chapter", F.posexplode(jsonx.get(F.col("chapter"), "$.sections", "array<variant>")).alias("s", "section"))
-    book = book.select("file", "pos", (F.col("c") * 1_000_000 + F.col("s")).cast("long").alias("block"), t.fill(w.BOOK_HEADING, F.col("book"), jsonx.get(F.col("chapter"), "$.chapter_title"), jsonx.get(F.col("section"), "$.section_title")).alias("heading"), t.clean_text(jsonx.get(F.col("section"), "$.raw_text")).alias("body"))
-
-    pages = F.posexplode(jsonx.get(F.col("v"), "$.data.pages", "array<variant>")).alias("block", "page")
-    resource = v.where("layer = 'resource'").select("file", "pos", jsonx.get(F.col("v"), "$.data.resource_info.title", default=F.lit(w.UNNAMED_RESOURCE)).alias("title"), pages)
-    resource = resource.select("file", "pos", F.col("block").cast("long").alias("block"), t.fill(w.RESOURCE_HEADING, F.col("title"), jsonx.get(F.col("page"), "$.page_no")).alias("heading"), t.clean_text(jsonx.get(F.col("page"), "$.page_text")).alias("body"))
+    def section(chapter, c):
+        return lambda x, s: block(c * 1_000_000 + s, t.fill(w.BOOK_HEADING, value("$.data.textbook_info.book_title", w.UNNAMED_BOOK), jsonx.get(chapter, "$.chapter_title"), jsonx.get(x, "$.section_title")), jsonx.get(x, "$.raw_text"))
 
+    chapters = jsonx.get(F.col("v"), "$.data.chapters", "array<variant>")
+    book = F.flatten(F.filter(F.transform(chapters, lambda x, c: F.transform(jsonx.get(x, "$.sections", "array<variant>"), section(x, c))), lambda x: x.isNotNull()))
+    page = lambda x, k: block(k, t.fill(w.RESOURCE_HEADING, value("$.data.resource_info.title", w.UNNAMED_RESOURCE), jsonx.get(x, "$.page_no")), jsonx.get(x, "$.page_text"))
+    pages = F.transform(jsonx.get(F.col("v"), "$.data.pages", "array<variant>"), page)
     goals = jsonx.get(F.col("v"), "$.data.teaching_goals", "array<string>")
-    syllabus = v.where("layer = 'syllabus'")
-    goal = syllabus.where(F.size(goals) > 0).select("file", "pos", F.lit(0).cast("long").alias("block"), F.lit(w.GOALS_HEADING).alias("heading"), t.clean_text(F.array_join(goals, " ")).alias("body"), F.lit(True).alias("always"))
-    point = syllabus.select("file", "pos", F.lit(1).cast("long").alias("block"), F.lit(w.POINTS_HEADING).alias("heading"), t.clean_text(jsonx.leaf_text(piece("$.data.knowledge_points"))).alias("body"))
-    hot = v.where("layer = 'hotspot'").select("file", "pos", F.lit(0).cast("long").alias("block"), t.fill(w.HOTSPOT_HEADING, jsonx.get(F.col("v"), "$.data.hotspot_info.title", default=F.lit(w.UNNAMED_HOTSPOT))).alias("heading"), t.clean_text(jsonx.leaf_text(piece("$.data.hotspot_item"))).alias("body"))
-    other = v.where(~F.col("layer").isin(*known)).select("file", "pos", F.lit(0).cast("long").alias("block"), t.fill(w.OTHER_HEADING, F.col("layer")).alias("heading"), t.clean_text(jsonx.leaf_text(piece("$.data"))).alias("body"))
+    goal = F.when(F.size(goals) > 0, block(0, F.lit(w.GOALS_HEADING), F.array_join(goals, " "), True))
+    syllabus = F.array_compact(F.array(goal, block(1, F.lit(w.POINTS_HEADING), F.col("leaves"))))
+    hot = F.array(block(0, t.fill(w.HOTSPOT_HEADING, value("$.data.hotspot_info.title", w.UNNAMED_HOTSPOT)), F.col("leaves")))
+    other = F.array(block(0, t.fill(w.OTHER_HEADING, F.col("layer")), F.col("leaves")))
+    chosen = F.when(is_("textbook"), book).when(is_("resource"), pages).when(is_("syllabus"), syllabus).when(is_("hotspot"), hot).when(F.col("layer").isNotNull(), other)
+    rows = v.select("file", "pos", F.explode(F.filter(chosen, lambda x: x["always"] | (x["body"] != ""))).alias("x"))
+    return rows.select("file", "pos", "x.block", _blocks(F.col("x.heading"), F.col("x.body")).alias("markdown"))
 
-    gated = book.select(*keep).unionByName(resource.select(*keep)).unionByName(point).unionByName(hot).unionByName(other).where("body <> ''")
-    return gated.unionByName(goal.drop("always")).select("file", "pos", "block", _blocks(F.col("heading"), F.col("body")).alias("markdown"))
 
+def export_markdown(blocks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(file, markdown): each source's blocks in order, under its export name.
 
-def export_markdown(blocks: DataFrame) -> DataFrame:
-    """(file, markdown): each source's blocks in order, under its export name."""
+    With ``sources(file, content)``, readable files without a block give an empty export; broken JSON gives none.
+    """
+    if sources is not None:
+        empty = sources.where(F.try_parse_json("content").isNotNull()).select("file", F.lit(0).alias("pos"), F.lit(-1).cast("long").alias("block"), F.lit("").alias("markdown"))
+        blocks = blocks.select("file", "pos", "block", "markdown").unionByName(empty)
     out = blocks.groupBy("file").agg(t.join_in_order(F.col("markdown"), [F.col("pos"), F.col("block")], "").alias("markdown"))
     return out.select(F.replace("file", F.lit(".json"), F.lit("_clean.md")).alias("file"), "markdown")
 

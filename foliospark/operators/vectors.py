@@ -7,15 +7,16 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.functions import wording as w
-from foliospark.sources.staging import stage_table
+from foliospark.sources.staging import arrow_filesystem, stage_table
 
-#: Bytes of query vectors that one pass over the collection takes to every task, and scores held at once.
-QUERY_BYTES, SCORES = 8 << 20, 1 << 22
+#: Bytes of the collection's vectors that meet all questions at once, questions of a block, scores held at once.
+ROW_BYTES, QUERY_ROWS, SCORES = 32 << 20, 4_096, 1 << 22
 
 
 def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
@@ -36,26 +37,49 @@ def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
     return staged.join(F.broadcast(offsets), "__part").withColumn("id", F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
 
 
-def _search(ids: np.ndarray, queries: np.ndarray, k: int):
-    """Arrow batches of (id, vector) -> the best k of each batch for every query."""
-    norms = np.linalg.norm(queries, axis=1)[:, None]
+def _best(keys: np.ndarray, m: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The best k of the rows (keys, m) for each of a block of queries."""
+    lengths, norms = np.linalg.norm(m, axis=1)[None, :], np.linalg.norm(queries, axis=1)[:, None]
+    step = max(1, SCORES // len(keys))
+    for q in range(0, len(asked), step):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = (queries[q : q + step] @ m.T) / (norms[q : q + step] * lengths)
+        score[~np.isfinite(score)] = -2.0
+        # all that tie with the k-th at six places stay, so that ties are cut by id later
+        cut = np.partition(score, -k, axis=1)[:, -k, None] - 1e-6 if score.shape[1] > k else -2.0
+        at, row = np.nonzero((score >= cut) & (score > -2.0))
+        yield pa.RecordBatch.from_arrays([pa.array(asked[q + at]), pa.array(keys[row]), pa.array(score[at, row])], ["query_id", "id", "score"])
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _search(questions: str, k: int):
+    """Arrow batches of (id, vector) -> the best k of each ROW_BYTES of them for every question of a staged table."""
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        fs, root = arrow_filesystem(questions)
+        yield from dataset.dataset(root, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_ROWS, columns=["query_id", "vector"], batch_readahead=1, fragment_readahead=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            keys, m = (np.concatenate([h[n] for h in held]) for n in range(2))
+            held.clear()
+            for q in blocks():
+                if len(q):
+                    yield from _best(keys, m, q.column("query_id").to_numpy(), _matrix(q.column("vector"), len(q)), k)
+
         for b in batches:
             b = b.filter(b.column("vector").is_valid())
-            if not len(b):
-                continue
-            m = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
-            key, length = b.column("id").to_numpy(), np.linalg.norm(m, axis=1)[None, :]
-            step = max(1, SCORES // len(b))
-            for q in range(0, len(ids), step):
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    score = (queries[q : q + step] @ m.T) / (norms[q : q + step] * length)
-                score[~np.isfinite(score)] = -2.0
-                # all that tie with the k-th at six places stay, so that ties are cut by id later
-                cut = np.partition(score, -k, axis=1)[:, -k, None] - 1e-6 if score.shape[1] > k else -2.0
-                asked, row = np.nonzero((score >= cut) & (score > -2.0))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q + asked]), pa.array(key[row]), pa.array(score[asked, row])], ["query_id", "id", "score"])
+            if len(b):
+                held.append((b.column("id").to_numpy(), _matrix(b.column("vector"), len(b))))
+                if sum(h[1].nbytes for h in held) >= ROW_BYTES:
+                    yield from close()
+        if held:
+            yield from close()
 
     return run
 
@@ -63,32 +87,16 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int):
 def top_k(collection: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rank, id, score): the exact k nearest by cosine, rounded to 6 places, ties by id.
 
-    ``collection`` has id and vector, ``queries`` has query_id and vector. Queries stream to the driver and
-    are taken to the collection in blocks of at most QUERY_BYTES, one pass each; with more than one
-    block, each one's result is staged before the next is read. A task keeps k rows a batch and query,
-    so the shuffle does not grow with the vectors. Vectors without length are skipped.
+    ``collection`` has id and vector, ``queries`` has query_id and vector. The questions are staged in the
+    shared folder; one job goes over the collection once, each task holds ROW_BYTES of it at a time and
+    streams all questions past them in blocks of QUERY_ROWS. A task keeps k rows for each question and
+    ROW_BYTES, so neither the driver nor the shuffle sees a vector. Vectors without length are skipped.
     """
-    rows = collection.select("id", "vector")
+    asked = stage_table(queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")), "questions")
+    rows = collection.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    found = rows.mapInArrow(_search(asked._staged_path, k), "query_id long, id long, score double").select("query_id", "id", F.round("score", 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-
-    def solve(block: list) -> DataFrame:
-        search = _search(np.array([q[0] for q in block], dtype=np.int64), np.array([q[1] for q in block], dtype=np.float64), k)
-        found = rows.mapInArrow(search, "query_id long, id long, score double").select("query_id", "id", F.round("score", 6).alias("score"))
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
-    done: list[DataFrame] = []
-    block: list = []
-    for q in queries.where("vector is not null").select("query_id", "vector").toLocalIterator(prefetchPartitions=True):
-        if block and (len(block) + 1) * len(q[1]) * 8 > QUERY_BYTES:
-            done.append(stage_table(solve(block), "hits"))
-            block = []
-        block.append(q)
-    if not block:
-        return collection.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
-    out = solve(block)
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def evidence(hits: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliospark.functions import wording as w
+from foliospark.operators import ingest
 from foliospark.functions.jsonx import NOT_JSON, NOT_OBJECT  # noqa: F401  the texts behind the error codes 2 and 1
 
 _S = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -59,11 +60,12 @@ _DECK_PAGES = f"""p AS (SELECT l_orderkey AS project_id, 't' || l_partkey AS tit
   CASE WHEN l_linenumber % 2 = 0 THEN '/g' END AS game_url, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS page_no, count(*) OVER (PARTITION BY l_orderkey) AS n_pages FROM lineitem)"""
 _ELEMENTS = f"""{_DECK_PAGES},
 l AS (SELECT project_id, page_no, unnest(list_filter([
-  {{'type': 'heading', 'content': title, 'url': NULL, 'width': 1120, 'y': 60, 'color': '1A202C'}},
-  {{'type': 'text', 'content': content, 'url': NULL, 'width': CASE WHEN image_path <> '' THEN 600 ELSE 1120 END, 'y': 160, 'color': '4A5568'}},
-  CASE WHEN image_path <> '' THEN {{'type': 'image', 'content': NULL, 'url': NULL, 'width': 450, 'y': 160, 'color': NULL}} END,
-  CASE WHEN game_url <> '' THEN {{'type': 'game_link', 'content': '{w.GAME_LINK}', 'url': game_url, 'width': 400, 'y': 620, 'color': '0070C0'}} END,
-  {{'type': 'text', 'content': page_no || ' / ' || n_pages, 'url': NULL, 'width': 100, 'y': 680, 'color': 'A0AEC0'}}], lambda x: x IS NOT NULL)) AS e FROM p)"""
+  {{'o': 1, 'type': 'heading', 'content': title, 'src': NULL, 'url': NULL, 'size': 40, 'bold': true, 'color': '1A202C', 'x': 80, 'y': 60, 'width': 1120, 'height': 80}},
+  {{'o': 2, 'type': 'text', 'content': content, 'src': NULL, 'url': NULL, 'size': 22, 'bold': false, 'color': '4A5568', 'x': 80, 'y': 160, 'width': CASE WHEN image_path <> '' THEN 600 ELSE 1120 END, 'height': 450}},
+  CASE WHEN image_path <> '' THEN {{'o': 3, 'type': 'image', 'content': NULL, 'src': image_path, 'url': NULL, 'size': NULL, 'bold': false, 'color': NULL, 'x': 750, 'y': 160, 'width': 450, 'height': 450}} END,
+  CASE WHEN game_url <> '' THEN {{'o': 4, 'type': 'game_link', 'content': '{w.GAME_LINK}', 'src': NULL, 'url': game_url, 'size': 18, 'bold': true, 'color': '0070C0', 'x': 80, 'y': 620, 'width': 400, 'height': 50}} END,
+  {{'o': 5, 'type': 'text', 'content': page_no || ' / ' || n_pages, 'src': NULL, 'url': NULL, 'size': 14, 'bold': false, 'color': 'A0AEC0', 'x': 1150, 'y': 680, 'width': 100, 'height': 30}}], lambda x: x IS NOT NULL)) AS e FROM p),
+n AS (SELECT project_id, page_no, row_number() OVER (PARTITION BY project_id, page_no ORDER BY e.o) - 1 AS pos, e FROM l)"""
 
 _KB = f"""k AS (SELECT conv_id, conv_id || '.json' AS file, turn::INTEGER AS pos, role, turn, {_clean('text')} AS body, text, {_clean(_strip('text'))} AS leaf, length({_strip('text')}) > 5 AS long FROM conversations),
 b AS (
@@ -78,8 +80,13 @@ m AS (SELECT file, pos, block, h || chr(10) || chr(10) || body || chr(10) || chr
 _TEMPLATES = "t(game_type, html) AS (VALUES ('click', '<a>/*INJECT_DATA*/</a>'), ('view', '<b>/*INJECT_DATA*/ /*INJECT_DATA*/</b>'), ('purchase', '<c></c>'))"
 _CARDS = """cards AS (SELECT n_regionkey AS game_id, n_nationkey AS pair_id, unnest(['left', 'right']) AS side, unnest([n_name, r_name]) AS label FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 _FLIPS = """f AS (SELECT user_id AS game_id, event_id AS "at", (event_id // 2) % 5 AS pair_id, CASE WHEN event_id % 3 = 0 THEN 'left' ELSE 'right' END AS side FROM events),
-n AS (SELECT *, row_number() OVER g - 1 AS n, lead(pair_id) OVER g AS np, lead(side) OVER g AS ns FROM f WINDOW g AS (PARTITION BY game_id ORDER BY "at", pair_id, side)),
-mv AS (SELECT game_id, n // 2 AS move, "at", pair_id = np AND side <> ns AS matched FROM n WHERE n % 2 = 0 AND np IS NOT NULL)"""
+q AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY "at", pair_id, side) AS n FROM f),
+r AS (SELECT game_id, 0::BIGINT AS n, NULL::BIGINT AS o_at, NULL::BIGINT AS o_pair, NULL::VARCHAR AS o_side, []::BIGINT[] AS found, 0::BIGINT AS done, NULL::BOOLEAN AS matched, NULL::BIGINT AS m_at FROM (SELECT DISTINCT game_id FROM f)
+  UNION ALL SELECT game_id, n, CASE WHEN idle THEN o_at WHEN o_at IS NULL THEN "at" END, CASE WHEN idle THEN o_pair WHEN o_at IS NULL THEN pair_id END, CASE WHEN idle THEN o_side WHEN o_at IS NULL THEN side END,
+    CASE WHEN NOT idle AND o_at IS NOT NULL AND o_pair = pair_id THEN list_append(found, pair_id) ELSE found END, done + CASE WHEN NOT idle AND o_at IS NOT NULL THEN 1 ELSE 0 END,
+    CASE WHEN NOT idle AND o_at IS NOT NULL THEN o_pair = pair_id END, CASE WHEN NOT idle AND o_at IS NOT NULL THEN o_at END
+  FROM (SELECT r.* EXCLUDE (n), q.n AS n, q."at" AS "at", q.pair_id AS pair_id, q.side AS side, list_contains(found, q.pair_id) OR (o_at IS NOT NULL AND o_pair = q.pair_id AND o_side = q.side) AS idle FROM r JOIN q ON q.game_id = r.game_id AND q.n = r.n + 1)),
+mv AS (SELECT game_id, done - 1 AS move, m_at AS "at", matched FROM r WHERE matched IS NOT NULL)"""
 _BLOCKS = f"""l AS (SELECT doc_id, i - 1 AS pos, x[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)),
 b AS (SELECT doc_id AS file, count(*)::BIGINT AS element_count, {_strip("coalesce(string_agg(CASE WHEN (doc_id + pos) % 5 <> 0 THEN repeat(line, 8) END, chr(10) || chr(10) ORDER BY pos), '')")} AS t FROM l GROUP BY doc_id),
 g AS (SELECT file, element_count, CASE WHEN t = '' THEN '{w.NOTHING_READ}' ELSE t END AS t FROM b)"""
@@ -128,12 +135,30 @@ SELECT user_id AS file, pos, k FROM x WHERE user_id % 3 = 0 UNION ALL SELECT DIS
     "goals_join": f"SELECT p_partkey, {_clean("concat_ws(' ', p_name, '  ' || p_type, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END)")} AS goals FROM part",
     "flatten_pages": f"WITH {_STAGES} SELECT project_id, stage_pos, point_pos, title, content, game_type FROM pg",
     "page_numbers": f"WITH {_STAGES} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY stage_pos, point_pos) AS page_no, count(*) OVER (PARTITION BY project_id) AS n_pages, title FROM pg",
-    "layout_elements": f"""WITH {_ELEMENTS}, n AS (SELECT project_id, page_no, e, CASE WHEN e.type = 'heading' THEN 1 WHEN e.y = 160 AND e.type = 'text' THEN 2 WHEN e.type = 'image' THEN 3 WHEN e.type = 'game_link' THEN 4 ELSE 5 END AS o FROM l)
-SELECT project_id, page_no, row_number() OVER (PARTITION BY project_id, page_no ORDER BY o) - 1 AS pos, e.type AS type, e.content AS content, e.url AS url, e.width AS width, e.y AS y FROM n""",
+    "layout_elements": f"""WITH {_ELEMENTS} SELECT project_id, page_no, pos, e.type AS type, e.content AS content, e.src AS src, e.url AS url, e.size AS font_size, e.bold AS bold, '#' || e.color AS color, e.x AS x, e.y AS y, e.width AS width, e.height AS height FROM n""",
     "layout_images": f"""WITH {_DECK_PAGES}, h AS (SELECT 'i' || p_partkey AS path FROM part WHERE p_size > 25)
 SELECT project_id, page_no, 3 + CASE WHEN path IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN game_url <> '' THEN 1 ELSE 0 END AS n_elements FROM p LEFT JOIN h ON image_path = path""",
-    "layout_render": f"""WITH {_ELEMENTS}, c AS (SELECT e.type AS type, e.width AS width, e.color AS h FROM l)
-SELECT type, count(*) AS n, round(sum(width / 1280 * 13.333::DOUBLE), 3) AS width_in, sum(('0x' || h[1:2])::INTEGER)::BIGINT AS r, sum(('0x' || h[3:4])::INTEGER)::BIGINT AS g, sum(('0x' || h[5:6])::INTEGER)::BIGINT AS b FROM c GROUP BY type""",
+    "layout_render": f"""WITH {_ELEMENTS}, h AS (SELECT 'i' || p_partkey AS path FROM part WHERE p_size > 25),
+c AS (SELECT *, e.type AS type, page_no % 3 = 0 AS bare FROM n LEFT JOIN h ON e.src = path WHERE NOT (page_no % 5 = 0 AND pos = 1) AND (e.type <> 'image' OR path IS NOT NULL)),
+v AS (SELECT *, CASE WHEN NOT bare THEN e.color WHEN type = 'game_link' THEN '0070C0' END AS k FROM c)
+SELECT project_id, page_no, pos, type, round(CASE WHEN bare THEN 0 ELSE e.x END / 1280 * 13.333::DOUBLE, 4) AS x_in, round(CASE WHEN bare THEN 0 ELSE e.y END / 1280 * 13.333::DOUBLE, 4) AS y_in,
+  round(CASE WHEN bare THEN 800 ELSE e.width END / 1280 * 13.333::DOUBLE, 4) AS width_in, round(CASE WHEN bare THEN 100 ELSE e.height END / 1280 * 13.333::DOUBLE, 4) AS height_in,
+  CASE WHEN type = 'image' THEN NULL WHEN NOT bare THEN e.size WHEN type = 'game_link' THEN 18 ELSE 20 END AS font_size, CASE WHEN type <> 'image' THEN (e.bold AND NOT bare)::INTEGER END AS bold,
+  ('0x' || k[1:2])::INTEGER AS r, ('0x' || k[3:4])::INTEGER AS g, ('0x' || k[5:6])::INTEGER AS b, type = 'game_link' AS underline, CASE WHEN type = 'game_link' THEN 'http://h' || e.url END AS link,
+  CASE WHEN type IN ('text', 'heading') THEN 1.3::DOUBLE END AS line_spacing FROM v""",
+    "deck_files": f"""WITH {_ELEMENTS} SELECT 'presentation_' || project_id || '.pptx' AS file, count(*) AS n,
+  md5(string_agg(CASE WHEN e.type = 'heading' THEN 'Title:' ELSE 'NarrativeText:' END || e.content, chr(10) ORDER BY page_no, pos)) AS text_md5 FROM n WHERE e.type <> 'image' GROUP BY project_id""",
+    "lesson_files": "SELECT DISTINCT 'word_project_' || l_orderkey || '.docx' AS file, 5::BIGINT AS n FROM lineitem",
+    "embedded_chunks": f"WITH {_PIECES} SELECT row_number() OVER (ORDER BY source, pos) - 1 AS id, source, 64 AS width, md5(text) AS text_md5 FROM chunks",
+    "enrich_pages": f"""WITH {_STAGES} SELECT project_id, stage_pos, point_pos, upper('Summarise this slide in short numbered points, at most 150 characters in all, and say nothing else.' || chr(10) || 'Title: ' || title || chr(10) || 'Notes: ' || content) AS content,
+  CASE WHEN stage_pos % 3 <> 0 THEN 'img_' || left(sha256(title), 16) || '.png' END AS image_path, '/static/exports/interactive_game_' || project_id || '_' || game_type || '.html' AS game_url FROM pg""",
+    "parse_status": f"""WITH x AS (SELECT doc_id, {_strip("string_split(text, chr(10))[1]")} AS s FROM documents),
+y AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 OR s = '' THEN '{w.NOTHING_READ}' WHEN length(s) > 80000 THEN left(s, 80000) || '{_NOTICE}' ELSE s END AS t FROM x)
+SELECT doc_id || '.pdf' AS file, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'success' END AS status, md5(t) AS text_md5, CASE doc_id % 3 WHEN 1 THEN 0 WHEN 2 THEN 2 END::BIGINT AS element_count,
+  length(t)::BIGINT AS char_count, CASE WHEN doc_id % 3 = 0 THEN '{ingest.UNREAD}' END AS message FROM y""",
+    "queue_errors": f"WITH {_STAGES} SELECT DISTINCT l_orderkey AS project_id, 422 AS code, '{w.NO_PAGES}' AS message FROM lineitem WHERE l_orderkey NOT IN (SELECT project_id FROM pg WHERE stage_pos > 2)",
+    "kb_empty_export": """SELECT DISTINCT conv_id || '_clean.md' AS file, CASE WHEN conv_id % 3 = 0 THEN '' ELSE '# 【L】补充知识片段' || chr(10) || chr(10) || 'leaf of ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) END AS markdown
+FROM conversations WHERE turn = 0 AND conv_id % 3 <> 2""",
     "layout_decks": f"""WITH {_DECK_PAGES} SELECT project_id, '项目 ' || project_id || ' 演示文稿' AS title, max(n_pages) AS n_slides, 'slide-' || left(sha256(project_id || '/1'), 8) AS first_id, max(CASE WHEN page_no = 1 THEN title END) AS first_heading FROM p GROUP BY project_id""",
     "key_points": f"""WITH {_STAGES}, x AS (SELECT l_orderkey AS project_id, string_agg(CASE WHEN l_linenumber % 3 = 1 AND l_returnflag = 'R' THEN 'P' || l_partkey END, '；' ORDER BY stage_pos) AS a,
   string_agg(CASE WHEN l_linenumber % 3 = 1 AND l_returnflag = 'A' THEN 'P' || l_partkey END, '；' ORDER BY stage_pos) AS b, bool_or(l_linenumber % 3 = 1 AND l_returnflag = 'N') AS n FROM st GROUP BY l_orderkey)
@@ -154,8 +179,8 @@ SELECT project_id, stage_pos, stage, md5(CASE WHEN n % 3 = 1 THEN f1 || p || chr
     "template_inject": f"WITH {_TEMPLATES} SELECT event_id, replace(html, '/*INJECT_DATA*/', props || CASE WHEN event_id % 2 = 0 THEN '<\\/script>' ELSE '' END) AS page FROM events LEFT JOIN t ON event_type = game_type",
     "memory_cards": f"WITH {_CARDS} SELECT game_id, pair_id, side, label FROM cards",
     "memory_match": f"WITH {_CARDS} SELECT a.game_id, a.pair_id, a.side, a.label, b.side AS other_side, b.label AS other_label FROM cards a JOIN cards b ON a.game_id = b.game_id AND a.pair_id = b.pair_id AND a.side < b.side",
-    "memory_flips": f"WITH {_FLIPS} SELECT game_id, move, \"at\", matched FROM mv",
-    "memory_progress": f"""WITH {_FLIPS}, k AS (SELECT game_id, count(*) AS cards FROM (SELECT DISTINCT game_id, pair_id, side FROM f) GROUP BY game_id), m AS (SELECT game_id, 2 * count(*) FILTER (matched) AS matched_cards FROM mv GROUP BY game_id)
+    "memory_flips": f"WITH RECURSIVE {_FLIPS} SELECT game_id, move, \"at\", matched FROM mv",
+    "memory_progress": f"""WITH RECURSIVE {_FLIPS}, k AS (SELECT game_id, count(*) AS cards FROM (SELECT DISTINCT game_id, pair_id, side FROM f) GROUP BY game_id), m AS (SELECT game_id, 2 * count(*) FILTER (matched) AS matched_cards FROM mv GROUP BY game_id)
 SELECT game_id, coalesce(matched_cards, 0) AS matched_cards, cards, coalesce(matched_cards = cards, false) AS won FROM k LEFT JOIN m USING (game_id)""",
     "drag_sort": """WITH l AS (SELECT DISTINCT l_partkey, CASE WHEN l_partkey % 2 = 0 THEN 'STANDARD' ELSE 'PROMO' END AS category FROM lineitem)
 SELECT l_partkey::VARCHAR AS word, category, coalesce(p_type = category, false) AS right FROM l LEFT JOIN part ON p_partkey = l_partkey""",

@@ -11,8 +11,8 @@ from foliospark.functions import jsonx
 from foliospark.functions import text as t
 from foliospark.functions import wording as w
 from foliospark.operators import accounts, enrich, games, ingest, kb, layout, lesson, outline, retention, retrieval, vectors
-from foliospark.sources import office_write
-from foliospark.sources.staging import stage_table
+from foliospark.sources import office, office_write, sinks
+from foliospark.sources.staging import new_path, stage_table
 
 #: Five CJK characters that stand for vowels where a query needs text beyond Latin-1.
 CJK = "教学目标课"
@@ -267,7 +267,7 @@ def _pages(spark, d):
 
 
 def layout_elements(spark, d):
-    return layout.elements(_pages(spark, d)).select("project_id", "page_no", "pos", "type", "content", "url", "width", "y")
+    return layout.elements(_pages(spark, d)).select("project_id", "page_no", "pos", "type", "content", "src", "url", "font_size", "bold", "color", "x", "y", "width", "height")
 
 
 def layout_images(spark, d):
@@ -276,8 +276,14 @@ def layout_images(spark, d):
 
 
 def layout_render(spark, d):
-    rows = layout.render(layout.elements(_pages(spark, d)))
-    return rows.groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("width_in"), 3).alias("width_in"), F.sum("rgb.r").alias("r"), F.sum("rgb.g").alias("g"), F.sum("rgb.b").alias("b"))
+    """Some rows lack their style, some are of a type that is not drawn, some pictures are missing."""
+    bare = F.col("page_no") % 3 == 0
+    rows = layout.elements(_pages(spark, d)).withColumns({c: F.when(~bare, F.col(c)) for c in ("font_size", "bold", "color", "x", "y", "width", "height")})
+    rows = rows.withColumn("type", F.when((F.col("page_no") % 5 == 0) & (F.col("pos") == 1), "chart").otherwise(F.col("type")))
+    there = table(spark, d, "part").where("p_size > 25").select(F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("path"))
+    shown = layout.render(rows, there, "http://h")
+    inch = lambda c: F.round(F.col(f"{c}_in"), 4).alias(f"{c}_in")
+    return shown.select("project_id", "page_no", "pos", "type", *map(inch, ("x", "y", "width", "height")), "font_size", F.col("bold").cast("int").alias("bold"), "rgb.r", "rgb.g", "rgb.b", "underline", "link", "line_spacing")
 
 
 def layout_decks(spark, d):
@@ -302,6 +308,35 @@ def lesson_cells(spark, d):
     return lesson.cells(_outlines(spark, d)).groupBy("project_id").agg(F.count("*").alias("n_cells"), F.max(F.when(F.col("table_no") == 3, F.col("row") + 1)).cast("long").alias("process_rows"))
 
 
+def parse_status(spark, d):
+    """Every third document's reader fails, every third has no elements, the others have one a line."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("name"), F.encode(F.concat_ws("|", "doc_id", F.split("text", "\n")[0]), "utf-8").alias("content"))
+    files = ingest.accept(docs)
+
+    def partition(s):
+        def one(data):
+            key, _, line = bytes(data).decode("utf-8").partition("|")
+            return None if int(key) % 3 == 0 else [] if int(key) % 3 == 1 else [{"kind": "Text", "text": line, "html": None}, {"kind": "Footer", "text": "no", "html": None}]
+
+        return s.map(one)
+
+    out = ingest.parse_results(ingest.document_blocks(files, enrich.Providers(partition=partition)))
+    return out.select("file", "status", _md5(F.col("text")).alias("text_md5"), "element_count", "char_count", "message")
+
+
+def queue_errors(spark, d):
+    outlines = _outlines(spark, d)
+    return outline.queue_errors(outlines, outline.flatten_pages(outlines).where("stage_pos > 2"))
+
+
+def kb_empty_export(spark, d):
+    """Sources with and without blocks, and broken ones."""
+    c = table(spark, d, "conversations").where("turn = 0")
+    text = F.when(F.col("conv_id") % 3 == 0, F.lit("7")).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('{"layer": "L", "data": ["leaf of '), F.col("conv_id").cast("string"), F.lit('"]}'))).otherwise(F.lit("{broken"))
+    sources = c.select(F.concat(F.col("conv_id").cast("string"), F.lit(".json")).alias("file"), text.alias("content")).distinct()
+    return kb.export_markdown(kb.route_documents(kb.split_documents(sources)), sources)
+
+
 def point_prefix(spark, d):
     li = table(spark, d, "lineitem")
     return li.groupBy("l_returnflag", lesson.prefix(F.col("l_returnflag") == "A", F.col("l_returnflag") == "R").alias("prefix")).agg(F.count("*").alias("n"))
@@ -460,9 +495,14 @@ def embed_chunks(spark, d):
     return vectors.dense_ids(made, "source", "pos").select("id", "vector", "text", "source")
 
 
+def embedded_chunks(spark, d):
+    """The collection without its vectors, which stand for a service's."""
+    return embed_chunks(spark, d).select("id", "source", F.size("vector").alias("width"), _md5(F.col("text")).alias("text_md5"))
+
+
 def enrich_pages(spark, d):
     pages = outline.flatten_pages(_outlines(spark, d)).withColumnRenamed("game", "interactive_game").withColumn("need_image", F.when(F.col("stage_pos") % 3 == 0, False).when(F.col("stage_pos") % 3 == 1, True))
-    kinds = spark.createDataFrame([("memory_match", ""), ("quiz", "")], "game_type string, html string")
+    kinds = spark.createDataFrame([("drag_sort", ""), ("quiz", "")], "game_type string, html string")
     out = enrich.run(pages, kinds, enrich.Providers(complete=lambda s: s.str.upper(), draw=lambda s: s.str.encode("utf-8")))
     return out.select("project_id", "stage_pos", "point_pos", "content", "image_path", "game_url")
 
@@ -478,13 +518,21 @@ def outline_replies(spark, d):
 
 
 def deck_files(spark, d):
-    files = office_write.presentations(layout.decks(layout.elements(_pages(spark, d))))
-    return files.select("project_id", "name", F.length("content").cast("long").alias("n_bytes"))
+    """Decks written and read back: the texts of their frames."""
+    return _read_back(spark, office_write.presentations(layout.decks(layout.elements(_pages(spark, d)))))
+
+
+def _read_back(spark, files):
+    folder = new_path(spark, "office")
+    sinks.write_files(files, folder)
+    spark.dataSource.register(office.OfficeSource)
+    rows = spark.read.format("office").load(folder)
+    return rows.groupBy("file").agg(F.count("*").alias("n"), _md5(t.join_in_order(F.concat_ws(":", "kind", "text"), F.col("pos"), "\n")).alias("text_md5"))
 
 
 def lesson_files(spark, d):
-    files = office_write.lesson_documents(lesson.cells(_outlines(spark, d)))
-    return files.select("project_id", "name", F.length("content").cast("long").alias("n_bytes"))
+    """Lesson plans written and read back: title and tables."""
+    return _read_back(spark, office_write.lesson_documents(lesson.cells(_outlines(spark, d)))).select("file", "n")
 
 
 QUERIES = {
@@ -493,8 +541,8 @@ QUERIES = {
         vector_topk, hit_projection, evidence_concat, evidence_assemble, clean_text_latin, clean_text_cjk, clean_text_spaces, chunk_split, chunk_min_len,
         chunk_short, chunk_ids, stage_title, ext_filter, ext_route, px_to_inch, hex_rgb, json_tolerant, game_mine, string_or_object, unwrap, precedence,
         leaf_text, kb_route, kb_markdown, kb_split, goals_join, flatten_pages, page_numbers, layout_elements, layout_images, layout_render, layout_decks,
-        key_points, lesson_process, lesson_info, lesson_cells, point_prefix, methods_join, objectives_enum, last_writer, template_lookup, template_inject,
+        parse_status, queue_errors, kb_empty_export, key_points, lesson_process, lesson_info, lesson_cells, point_prefix, methods_join, objectives_enum, last_writer, template_lookup, template_inject,
         memory_cards, memory_match, memory_flips, memory_progress, drag_sort, quiz_check, concat_blocks, truncate_guard, element_filter, sheet_markdown,
-        retention_expired, token_expiry, user_lookup, register_new, owners_gone, embed_chunks, enrich_pages, outline_replies, deck_files, lesson_files,
+        retention_expired, token_expiry, user_lookup, register_new, owners_gone, embed_chunks, embedded_chunks, enrich_pages, outline_replies, deck_files, lesson_files,
     )
 }

@@ -12,8 +12,13 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, name, mtime, length, is_file, directory) of the files in folders, contents unread."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", F.col("modificationTime").alias("mtime"), "length")
+    """(path, name, mtime, length, is_file, directory) of the files in folders, contents unread; missing folders are skipped."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = lambda path: (p := jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(conf).exists(p)
+    found = [p for p in paths if there(p)]
+    if not found:
+        return spark.createDataFrame([], "path string, name string, mtime timestamp, length long, is_file boolean, directory string")
+    files = spark.read.format("binaryFile").load(found).select("path", F.col("modificationTime").alias("mtime"), "length")
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), "mtime", "length", F.lit(True).alias("is_file"), F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("directory"))
 
 

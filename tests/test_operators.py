@@ -1,5 +1,6 @@
 """Operators on small inputs with awkward rows."""
 
+import io
 import json
 import os
 import time
@@ -8,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.functions import jsonx
 from foliospark.functions import wording as w
 from foliospark.operators import accounts, enrich, export, games, ingest, kb, layout, lesson, outline, retention, retrieval, vectors
 from foliospark.sources import folders, office, office_write, sinks
@@ -55,6 +57,11 @@ def test_layout(spark):
     deck = json.loads(layout.decks(rows).first().deck)
     assert deck["metadata"]["size"] == {"width": 1280, "height": 720} and [len(s["elements"]) for s in deck["slides"]] == [3, 4, 4, 5]
     assert layout.render(rows).where("type = 'heading'").first().rgb == (26, 32, 44)
+    plain = spark.createDataFrame([(k, c, s, u, *[None] * 7) for k, c, s, u in (("text", "t", None, None), ("game_link", "g", None, "/x"), ("image", None, "i.png", None), ("image", None, "gone.png", None), ("chart", "c", None, None))], "type string, content string, src string, url string, font_size int, bold boolean, color string, x int, y int, width int, height int")
+    got = {r.type: r for r in layout.render(plain, files, "http://h").collect()}
+    assert set(got) == {"text", "game_link", "image"} and layout.render(plain).count() == 4
+    assert (got["text"].font_size, got["text"].rgb, got["text"].line_spacing, got["text"].width, got["text"].x) == (20, None, 1.3, 800, 0)
+    assert (got["game_link"].font_size, got["game_link"].rgb, got["game_link"].link, got["game_link"].underline) == (18, (0, 112, 192), "http://h/x", True)
 
 
 def test_lesson(spark):
@@ -88,6 +95,8 @@ def test_kb(spark, tmp_path):
     assert split.count() == 6
     out = kb.export_markdown(kb.route_documents(split)).collect()
     assert [r.file for r in out] == ["a_clean.md"]
+    every = {r.file: r.markdown for r in kb.export_markdown(kb.route_documents(split), kb.read_sources(spark, str(tmp_path))).collect()}
+    assert every == {"a_clean.md": out[0].markdown, "c_clean.md": ""}
     rule = "\n\n---\n\n"
     assert out[0].markdown == rule.join([
         f"# 【教材】《{w.UNNAMED_BOOK}》- C - S\n\n教学 a", "# 【优质资源】R - 第 3 页\n\nbody", f"{w.GOALS_HEADING}\n\n", f"{w.POINTS_HEADING}\n\nthe later key the other key",
@@ -105,7 +114,8 @@ def test_dense_ids_and_top_k(spark, monkeypatch):
     got = {(r.query_id, r.rank): (r.id, r.score) for r in vectors.top_k(space, asked, 4).collect()}
     assert [got[1, k][0] for k in (1, 2, 3, 4)] == [0, 1, 2, 3] and [got[2, k][0] for k in (1, 2, 3, 4)] == [5, 6, 7, 0]
     assert len(got) == 8 and vectors.top_k(space, asked.limit(0)).collect() == []
-    monkeypatch.setattr(vectors, "QUERY_BYTES", 16)
+    monkeypatch.setattr(vectors, "ROW_BYTES", 40)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 1)
     assert sorted(vectors.top_k(space, asked, 4).collect()) == sorted((q, r, *v) for (q, r), v in got.items())
     hits = spark.createDataFrame([(1, 2, None, "b"), (1, 1, "s", None)], "query_id long, rank int, source string, text string")
     assert vectors.evidence(hits).first().evidence == f"【来源: s】\n\n\n【来源: {w.EVIDENCE_SOURCE}】\nb"
@@ -127,8 +137,10 @@ def test_games(spark):
     assert sorted(r.place for r in games.shuffled(deck, 4).collect()) == [1, 2, 3, 4]
     flips = spark.createDataFrame([(1, 1, 1, "left"), (1, 2, 1, "right"), (1, 3, 2, "left"), (1, 4, 2, "left"), (1, 5, 2, "right")], "game_id int, at int, pair_id int, side string")
     moves = games.flips(flips)
-    assert [(r.move, r.matched) for r in moves.sort("move").collect()] == [(0, True), (1, False)]
-    assert games.progress(moves, deck).first().asDict() == {"game_id": 1, "matched_cards": 2, "cards": 4, "won": False}
+    assert [(r.move, r.matched) for r in moves.sort("move").collect()] == [(0, True), (1, True)]
+    assert games.progress(moves, deck).first().asDict() == {"game_id": 1, "matched_cards": 4, "cards": 4, "won": True}
+    again = spark.createDataFrame([(1, k, 1, s) for k, s in enumerate(["left", "right"] * 2)] + [(2, 1, 1, "left"), (2, 2, 2, "left"), (2, 3, 1, "left")], "game_id int, at int, pair_id int, side string")
+    assert sorted(tuple(r) for r in games.flips(again).collect()) == [(1, 0, 0, True), (2, 0, 1, False)]
     built = games.build(spark.createDataFrame([("<s>/*INJECT_DATA*/</s>", '{"a": "</script>"}'), (None, "{}")], "html string, payload string")).collect()
     assert built[0].page == '<s>{"a": "<\\/script>"}</s>' and built[1].page is None
     last = games.last_written(spark.createDataFrame([("k", 1, "old"), ("k", 2, "new")], "k string, at int, v string"), ["k"], "at")
@@ -223,7 +235,17 @@ def test_sheet_text(spark, name):
 
 def test_exports(spark, tmp_path):
     pages = spark.createDataFrame([(1, 1, 2, "Title <1>", "a\nb & c\x01", "i.png", "/g"), (1, 2, 2, "Second", "d", "", "")], "project_id long, page_no int, n_pages int, title string, content string, image_path string, game_url string")
-    files = office_write.presentations(layout.decks(layout.elements(pages)), "http://host")
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (90).to_bytes(4) + (45).to_bytes(4)
+    pictures = spark.createDataFrame([("i.png", png), ("other.png", b"x")], "path string, content binary")
+    files = office_write.presentations(layout.decks(layout.elements(pages), "me"), "http://host", pictures)
+    with zipfile.ZipFile(io.BytesIO(files.first().content)) as z:
+        assert z.read("ppt/media/image1_2.png") == png and "http://host/g" in z.read("ppt/slides/_rels/slide1.xml.rels").decode()
+        first = z.read("ppt/slides/slide1.xml").decode()
+        wide = round(450 / 1280 * 13.333 * 914_400)
+        assert f'cx="{wide}" cy="{round(wide / 2)}"' in first and 'r:embed="i2"' in first and 'val="130000"' in first
+    bare = office_write.presentations(layout.decks(layout.elements(pages)))
+    with zipfile.ZipFile(io.BytesIO(bare.first().content)) as z:
+        assert not [n for n in z.namelist() if "media" in n]
     plans = office_write.lesson_documents(lesson.cells(outlines(spark, {"syllabus_content": STAGES})))
     assert sinks.write_files(files.unionByName(plans), str(tmp_path)) == 2
     spark.dataSource.register(office.OfficeSource)
@@ -250,6 +272,52 @@ def test_providers_of_ingest(spark):
     assert got["c.pdf"].text == f"T\n\n\n{w.TABLE_CAPTION}\n<table/>" and got["c.pdf"].element_count == 3
 
 
+def test_no_file_is_lost(spark, tmp_path):
+    files = ingest.accept(spark.createDataFrame([("bad.pdf", b"x"), ("empty.pdf", b""), ("good.pdf", b"y")], "name string, content binary"))
+    tools = enrich.Providers(partition=lambda s: s.map(lambda b: None if b == b"x" else [{"kind": "Text", "text": "T", "html": None}] * len(b)))
+    got = {r.file: r for r in ingest.parse_results(ingest.document_blocks(files, tools)).collect()}
+    assert {k: v.status for k, v in got.items()} == {"bad.pdf": "error", "empty.pdf": "success", "good.pdf": "success"}
+    assert got["bad.pdf"].text is None and got["bad.pdf"].message and got["empty.pdf"].text == w.NOTHING_READ and got["empty.pdf"].element_count == 0
+    office_write_rows = office_write.lesson_documents(lesson.cells(outlines(spark, {"syllabus_content": STAGES})))
+    sinks.write_files(office_write_rows, str(tmp_path))
+    (tmp_path / "old.xls").write_bytes(b"x")
+    (tmp_path / "broken.pptx").write_bytes(b"x")
+    spark.dataSource.register(office.OfficeSource)
+    read = {r.file: r for r in ingest.parse_results(ingest.office_blocks(spark.read.format("office").load(str(tmp_path)))).collect()}
+    assert {k: v.status for k, v in read.items()} == {"word_project_0.docx": "success", "old.xls": "error", "broken.pptx": "error"}
+    assert read["word_project_0.docx"].text.startswith(w.LESSON_TITLE) and "xlsx" in read["old.xls"].message
+    with zipfile.ZipFile(tmp_path / "word_project_0.docx") as z:
+        body = z.read("word/document.xml").decode()
+    assert body.count(w.CELL_FILL) == 11 and '<w:b/>' in body
+
+
+def test_users_and_collections(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS people")
+    sinks.create_users(spark, "people")
+    sinks.create_users(spark, "people")
+    sinks.insert_users(spark.createDataFrame([(1, "a", "h", "teacher", True)], "id long, username string, hashed_password string, role string, is_active boolean"), "people")
+    assert [(r.username, r.created_at == r.updated_at) for r in spark.table("people").collect()] == [("a", True)]
+    sinks.reset_collection(spark.range(3), "things")
+    sinks.reset_collection(spark.range(2), "things")
+    assert spark.table("things").count() == 2
+    for name in ("people", "things"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_folder_scans(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# a")
+    (tmp_path / "b.txt").write_text("b")
+    assert folders.markdown_files(spark, str(tmp_path)).collect() == [("a.md", "# a")]
+    assert sorted((r.name, bytes(r.content)) for r in folders.uploads(spark, str(tmp_path)).collect()) == [("a.md", b"# a"), ("b.txt", b"b")]
+    assert sorted(r.name for r in folders.listing(spark, str(tmp_path), str(tmp_path / "missing")).collect()) == ["a.md", "b.txt"]
+    assert folders.listing(spark, str(tmp_path / "missing")).collect() == []
+
+
+def test_deep_json(spark):
+    df = spark.createDataFrame([("[" * 100_000,), ("[" * 100_000 + "]" * 100_000,), ('["a long leaf"]',)], "t string")
+    assert [r[0] for r in df.select(jsonx.leaf_text("t")).collect()] == [None, None, "a long leaf"]
+
+
 def test_login(spark):
     users = spark.createDataFrame([("a", "h1"), ("b", None)], "username string, hashed_password string")
     asked = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("z", "1"), (None, None)], "username string, password string")
