@@ -15,6 +15,10 @@ el los las y del una con por se no su lo como más al para su al""".split()
 
 SYMBOLS = "#*$%&|<>"
 
+#: Bytes that a text's UTF-8 has beyond one a character, in shares of its characters, from which on it is not written
+#: in Latin letters; the stop words are those of four languages that are, so their rule leaves such texts alone.
+OTHER_SCRIPT = 0.4
+
 #: Metric, lowest and highest value that a kept text may have (None: no bound). Ratios of an empty text are 0.
 THRESHOLDS = (
     ("mean_word_chars", 2.0, 14.0),
@@ -57,6 +61,8 @@ def quality_columns(docs: DataFrame, text: str = "text", prefix: str = "__q_") -
         p + "word_chars": F.length(F.translate(c("text"), SPACES, "")).cast("long"),
         p + "n_symbols": (F.length(c("text")) - F.length(F.translate(c("text"), SYMBOLS, ""))).cast("long"),
         p + "n_shouts": (F.length(c("text")) - F.length(F.translate(c("text"), "!?", ""))).cast("long"),
+        p + "n_chars": F.length(c("text")).cast("long"),
+        p + "n_extra": (F.octet_length(c("text")) - F.length(c("text"))).cast("long"),
         p + "n_lines": F.size(c("lines")).cast("long"),
         p + "n_dup_lines": (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
         p + "n_bullets": F.size(F.filter(c("lines"), lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).cast("long"),
@@ -84,7 +90,7 @@ def verdict(prefix: str = "__q_", thresholds=THRESHOLDS) -> tuple[Column, Column
         "mean_word_chars": _ratio(c("word_chars"), c("n_words")),
         "symbol_ratio": _ratio(c("n_symbols"), c("n_words")),
         "shout_ratio": _ratio(c("n_shouts"), c("n_words")),
-        "stop_ratio": _ratio(c("n_stop"), c("n_words")),
+        "stop_ratio": F.when(c("n_extra") > OTHER_SCRIPT * c("n_chars"), F.lit(1.0)).otherwise(_ratio(c("n_stop"), c("n_words"))),
         "dup_line_ratio": _ratio(c("n_dup_lines"), c("n_lines")),
         "bullet_line_ratio": _ratio(c("n_bullets"), c("n_lines")),
         "ellipsis_line_ratio": _ratio(c("n_ellipses"), c("n_lines")),

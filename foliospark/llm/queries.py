@@ -36,12 +36,12 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(translate(t, {_WS}, '')):
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         len(list_filter(l, lambda x: ltrim(x, ' ')[1] IN ('-', '*', '•'))) AS n_bullets,
         len(list_filter(l, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_ellipses,
-        len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop, coalesce(n, 0)::BIGINT AS n_repeat_words
+        len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop, strlen(t) - length(t) > {quality_rules.OTHER_SCRIPT} * length(t) AS other, coalesce(n, 0)::BIGINT AS n_repeat_words
       FROM split LEFT JOIN rep USING (rid)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n_words >= 2.0 AND word_chars / n_words <= 14.0 AND n_symbols / n_words <= 0.10
-  AND n_shouts / n_words <= 0.30 AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.50
+  AND n_shouts / n_words <= 0.30 AND (other OR n_stop / n_words >= 0.02) AND n_dup_lines / n_lines <= 0.50
   AND n_bullets / n_lines <= 0.90 AND n_ellipses / n_lines <= 0.30 AS kept FROM v""",
     "op6_source_mixing": r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -1,5 +1,6 @@
 """Quality rules and source mixing against plain Python."""
 
+import random
 import re
 from collections import Counter
 
@@ -44,6 +45,14 @@ def test_rules_keep_good_documents(spark):
     assert kept[1] > 0.98 and kept[0] < 0.6
 
 
+def test_other_scripts_need_no_stop_words(spark):
+    rng = random.Random(1)
+    words = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(80))
+    rows = [(1, words("абвгдежзиклмнопрст")), (2, words("bcdfghjklmnpqrst")), (3, words("αβγδεζηθικλμ"))]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
 def fill(sizes, weights, total, cap=2.0):
     """Targets by sharing the excess again and again."""
     target, free = {}, dict(weights)
