@@ -2,6 +2,8 @@
 
 import pytest
 
+import corpus_pipeline
+
 from foliospark.llm import language_id, license_scan, line_dedup, media_columns, packing, quality_rules, simhash_dedup, source_mixing, toxicity
 
 from .common import documents, nothing, rows
@@ -59,3 +61,14 @@ def test_stages_keep_columns(spark, keep):
     assert out.dtypes == docs.dtypes
     out.collect()
     assert keep(nothing(spark)).collect() == []
+
+
+def test_pipeline_on_awkward_rows(spark):
+    """All stages one after the other over nulls, repeats, long and empty texts, and over no rows at all."""
+    for docs in (documents(spark), nothing(spark)):
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert all(p.length > 0 for p in pieces) and bool(pieces) == bool(docs.count())

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -58,3 +58,40 @@ def test_neighbours_share_words():
     for w in window.values():
         same.append(max(w.count(x) for x in w) / len(w))
     assert np.mean(same) > 0.7
+
+
+def test_scores_by_brute_force(monkeypatch):
+    """BM25 over all terms of the seed, with frequent terms in dense rows, in postings, or both."""
+    rng = np.random.default_rng(1)
+    ids = [np.minimum(rng.zipf(1.4, rng.integers(1, 60)), 400).astype(np.uint16) for _ in range(50)]
+    df = np.zeros(500)
+    for x in ids:
+        df[np.unique(x)] += 1
+    idf, mean = np.log1p((50 - df + 0.5) / (df + 0.5)), np.mean([len(x) for x in ids])
+
+    def bm25(seed, doc):
+        tf = Counter(doc.tolist())
+        return sum(idf[t] * tf[t] * (packing.K1 + 1) / (tf[t] + packing.K1 * (1 - packing.B + packing.B * len(doc) / mean)) for t in set(seed.tolist()) if t in tf)
+
+    for dense in (1, 4, 1000):
+        monkeypatch.setattr(packing, "DENSE", dense)
+        shard = packing.Shard(ids, idf.astype(np.float32), mean)
+        for seed in (0, 7, 49):
+            got, want = shard.scores(seed), np.array([bm25(ids[seed], d) for d in ids])
+            others = np.arange(50) != seed  # a seed's own terms that stand nowhere else are left out
+            assert np.allclose(got[others], want[others], rtol=1e-4, atol=1e-4)
+            assert list(shard.neighbours(seed)[:5]) == [] or got[shard.neighbours(seed)[0]] >= got[others].max() - 1e-4
+
+
+def test_near_copies_meet():
+    """Copies with few changes of long and short documents have the same min-hash, and so the same shard."""
+    rng = np.random.default_rng(3)
+    same = 0
+    for _ in range(200):
+        doc = rng.integers(2, 40_000, rng.choice([60, 1000, 20_000]))
+        copy = doc.copy()
+        copy[rng.integers(0, len(doc), max(1, len(doc) // 50))] = 5
+        both = np.r_[doc, 1, copy, 1].astype(np.uint32)
+        a, b = packing.signatures(both, np.array([0, len(doc) + 1, len(both)]))
+        same += a == b
+    assert same > 170
