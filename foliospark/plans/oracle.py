@@ -159,7 +159,9 @@ SELECT doc_id || '.pdf' AS file, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'suc
     "queue_errors": f"WITH {_STAGES} SELECT DISTINCT l_orderkey AS project_id, 422 AS code, '{w.NO_PAGES}' AS message FROM lineitem WHERE l_orderkey NOT IN (SELECT project_id FROM pg WHERE stage_pos > 2)",
     "kb_empty_export": """SELECT DISTINCT conv_id || '_clean.md' AS file, CASE WHEN conv_id % 3 = 0 THEN '' ELSE '# 【L】补充知识片段' || chr(10) || chr(10) || 'leaf of ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) END AS markdown
 FROM conversations WHERE turn = 0 AND conv_id % 3 <> 2""",
-    "layout_decks": f"""WITH {_DECK_PAGES} SELECT project_id, '项目 ' || project_id || ' 演示文稿' AS title, max(n_pages) AS n_slides, 'slide-' || left(sha256(project_id || '/1'), 8) AS first_id, max(CASE WHEN page_no = 1 THEN title END) AS first_heading FROM p GROUP BY project_id""",
+    "layout_decks": f"""WITH {_ELEMENTS}, t AS (SELECT project_id, page_no, 'slide-' || left(sha256(project_id || '/' || page_no), 8) || chr(10) || string_agg(concat_ws(',', e.type, coalesce(e.content, '-'), coalesce(e.src, '-'), coalesce(e.url, '-'),
+  coalesce(e.size::VARCHAR, '-'), CASE WHEN e.bold THEN 'bold' ELSE '-' END, coalesce('#' || e.color, '-'), e.x, e.y, e.width, e.height), chr(10) ORDER BY pos) AS s FROM n GROUP BY project_id, page_no)
+SELECT project_id, '项目 ' || project_id || ' 演示文稿' AS title, 'me,1280,720' AS meta, count(*) AS n_slides, md5(string_agg(s, chr(10) ORDER BY page_no)) AS slides_md5 FROM t GROUP BY project_id""",
     "key_points": f"""WITH {_STAGES}, x AS (SELECT l_orderkey AS project_id, string_agg(CASE WHEN l_linenumber % 3 = 1 AND l_returnflag = 'R' THEN 'P' || l_partkey END, '；' ORDER BY stage_pos) AS a,
   string_agg(CASE WHEN l_linenumber % 3 = 1 AND l_returnflag = 'A' THEN 'P' || l_partkey END, '；' ORDER BY stage_pos) AS b, bool_or(l_linenumber % 3 = 1 AND l_returnflag = 'N') AS n FROM st GROUP BY l_orderkey)
 SELECT project_id, md5(coalesce(a, CASE WHEN n THEN '' END, '{w.NO_POINTS}')) AS key_md5, md5(coalesce(b, CASE WHEN n THEN '' END, '{w.NO_POINTS}')) AS difficult_md5 FROM x""",

@@ -70,7 +70,8 @@ def clean_text_latin(spark, d):
 
 def clean_text_cjk(spark, d):
     text = F.translate("text", "aeiou", CJK)
-    return table(spark, d, "documents").select("doc_id", _md5(t.clean_text(text)).alias("clean_md5"), F.length(t.clean_text(text)).cast("long").alias("n_chars"))
+    clean = table(spark, d, "documents").select("doc_id", t.clean_text(text).alias("clean"))
+    return clean.select("doc_id", _md5(F.col("clean")).alias("clean_md5"), F.length("clean").cast("long").alias("n_chars"))
 
 
 def clean_text_spaces(spark, d):
@@ -287,7 +288,15 @@ def layout_render(spark, d):
 
 
 def layout_decks(spark, d):
-    return layout.decks(layout.elements(_pages(spark, d))).select("project_id", F.get_json_object("deck", "$.metadata.title").alias("title"), F.size(F.from_json("deck", "slides array<struct<id:string>>")["slides"]).cast("long").alias("n_slides"), F.get_json_object("deck", "$.slides[0].id").alias("first_id"), F.get_json_object("deck", "$.slides[0].elements[0].content").alias("first_heading"))
+    """Whole decks: every slide's id and every element's place, style and content, in order."""
+    element = "struct<type:string,content:string,src:string,url:string,style:struct<fontSize:int,fontWeight:string,color:string,position:struct<x:int,y:int>,width:int,height:int>>"
+    kind = f"struct<metadata:struct<title:string,author:string,size:struct<width:int,height:int>>,slides:array<struct<id:string,elements:array<{element}>>>>"
+    decks = layout.decks(layout.elements(_pages(spark, d)), "me").select("project_id", F.from_json("deck", kind).alias("x"))
+    part = lambda *columns: F.concat_ws(",", *(F.coalesce(c.cast("string"), F.lit("-")) for c in columns))
+    line = lambda e: part(e["type"], e["content"], e["src"], e["url"], e["style"]["fontSize"], e["style"]["fontWeight"], e["style"]["color"], e["style"]["position"]["x"], e["style"]["position"]["y"], e["style"]["width"], e["style"]["height"])
+    slide = lambda s: F.concat_ws("\n", s["id"], F.transform(s["elements"], line))
+    meta = F.col("x.metadata")
+    return decks.select("project_id", meta["title"].alias("title"), part(meta["author"], meta["size"]["width"], meta["size"]["height"]).alias("meta"), F.size("x.slides").cast("long").alias("n_slides"), _md5(F.concat_ws("\n", F.transform("x.slides", slide))).alias("slides_md5"))
 
 
 def key_points(spark, d):
