@@ -6,6 +6,7 @@ import os
 import time
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,3 +344,18 @@ def test_retrieval(spark):
     assert got == {1: f"{w.OUTSIDE_LABEL}\ngiven\n\n{w.CLOUD_LABEL}\n【来源: s0】\nalpha beta\n\n", 2: ""}
     replies = {r.query_id: (r.outline, r.error is None) for r in retrieval.outline(requests, None, tools).collect()}
     assert replies == {1: ('{"outline_data":{}}', True), 2: (None, False)}
+
+
+def test_finished_decks_leave_in_small_batches(spark):
+    """A batch of rows makes files of many times its size; they must not be held together."""
+
+    class Frame:
+        select = withColumn = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    big = b"\x89PNG\r\n\x1a\n" + bytes(1 << 20)
+    deck = json.dumps({"slides": [{"elements": [{"type": "image", "src": "a"}]}]})
+    rows = pa.RecordBatch.from_pylist([{"project_id": k, "name": str(k), "deck": deck, "pictures": [{"path": "a", "content": big}]} for k in range(20)])
+    made = list(office_write.presentations(Frame())(iter([rows])))
+    assert [x for b in made for x in b.column("project_id").to_pylist()] == list(range(20))
+    assert max(b.nbytes for b in made) < 6 << 20

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as contract
 from foliospark.plans import oracle, queries
+from foliospark.sources.staging import remove, shared_dir
 
 from .conftest import DATA
 
@@ -51,3 +52,16 @@ def test_rows_only(spark, name):
 def test_contract(spark):
     assert contract.entry(spark).count() == 5
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", ["deck_files"])
+def test_office_files_go_round_by_round(spark, duck, monkeypatch, name):
+    """Few files stand on disk at once, every one is read, and none is left."""
+    written = []
+    monkeypatch.setattr(queries, "remove", lambda s, path: (written.append(len(list(Path(path.removeprefix("file://")).glob("*.*")))), remove(s, path)), raising=False)
+    kept = set(Path(shared_dir(spark).removeprefix("file://")).glob("office-*"))
+    monkeypatch.setattr(queries, "TASK_FILES", 50, raising=False)
+    got = queries.QUERIES[name](spark, DATA).toPandas()
+    assert canonical(got) == canonical(duck.execute(oracle.SQL[name]).df())
+    assert set(Path(shared_dir(spark).removeprefix("file://")).glob("office-*")) <= kept
+    assert sum(n for n in written if n) == len(got) and len(written) > 1 and max(written) < len(got)
