@@ -54,7 +54,7 @@ def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", ["deck_files"])
+@pytest.mark.parametrize("name", ["deck_files", "lesson_files"])
 def test_office_files_go_round_by_round(spark, duck, monkeypatch, name):
     """Few files stand on disk at once, every one is read, and none is left."""
     written = []
