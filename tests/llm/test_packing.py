@@ -1,9 +1,12 @@
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from foliospark.llm import packing
+from foliospark.sources.staging import stage_table
 
 from ..conftest import DATA
 from .common import documents
@@ -41,6 +44,30 @@ def test_every_id_lies_in_one_piece(spark, monkeypatch):
     assert padding == 0
 
 
+def test_tasks_hold_little_at_once(spark, monkeypatch):
+    """Texts are read and handed on in small batches and staged in small row groups, a task packs several shards, and settings are put back."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, " ".join(map(str, rng.integers(0, 10**6, 4_000)))) for k in range(240)], "doc_id long, text string").coalesce(1)
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before, seen, groups = [spark.conf.get(k) for k in names], [], []
+
+    def stage(df, *args, **named):
+        seen.extend(int(spark.conf.get(k)) for k in names)
+        out = stage_table(df, *args, **named)
+        for f in Path(out._staged_path.removeprefix("file://")).glob("*.parquet"):
+            m = pq.ParquetFile(f).metadata
+            groups.extend(m.row_group(k).total_byte_size for k in range(m.num_row_groups))
+        return out
+
+    monkeypatch.setattr(packing, "stage_table", stage)
+    pieces = packing.pack(docs)
+    assert len(seen) == 2 and max(seen) <= 2_000
+    assert [spark.conf.get(k) for k in names] == before
+    total = sum(r.length for r in pieces.collect())
+    assert 2 * total > 4 << 20 and max(groups) < 4 << 20
+    assert pieces.rdd.getNumPartitions() == 1 + total // (4 * packing.SHARD_TOKENS) < total / packing.SHARD_TOKENS
+
+
 def test_neighbours_share_words():
     rng = np.random.default_rng(0)
     topics = [rng.integers(k * 100, k * 100 + 100, 5000) for k in range(10)]
