@@ -1,5 +1,6 @@
 """Operators on small inputs with awkward rows."""
 
+import hashlib
 import io
 import json
 import os
@@ -359,3 +360,51 @@ def test_finished_decks_leave_in_small_batches(spark):
     made = list(office_write.presentations(Frame())(iter([rows])))
     assert [x for b in made for x in b.column("project_id").to_pylist()] == list(range(20))
     assert max(b.nbytes for b in made) < 6 << 20
+
+
+def test_archives_are_as_zipfile_makes_and_reads_them(tmp_path):
+    """Members are written and read without zipfile; odd and damaged archives are left to it."""
+    members = {"[Content_Types].xml": "<a/>", "ppt/é.xml": "é", "ppt/media/i.png": b"\x89PNG" + bytes(99), "empty": b""}
+    want = io.BytesIO()
+    with zipfile.ZipFile(want, "w") as z:
+        for name, body in members.items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), body if isinstance(body, bytes) else office_write._HEAD + body)
+    assert office_write._archive([office_write._member(*m) for m in members.items()]) == want.getvalue()
+
+    plain = {n: b if isinstance(b, bytes) else (office_write._HEAD + b).encode() for n, b in members.items()}
+    assert office.parts(want.getvalue(), lambda n: n != "empty") == {n: b for n, b in plain.items() if n != "empty"}
+    for kind in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2):
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w", kind) as z:
+            for name, body in plain.items():
+                with z.open(name, "w") as f:
+                    f.write(body)
+            z.comment = b"a note" if kind == zipfile.ZIP_STORED else b""
+        assert office.parts(made.getvalue(), bool) == plain
+    broken = bytearray(want.getvalue())
+    broken[broken.index(b"<a/>")] ^= 1
+    with pytest.raises(zipfile.BadZipFile):
+        office.parts(bytes(broken), bool)
+    with pytest.raises(zipfile.BadZipFile):
+        office.parts(want.getvalue()[:-5], bool)
+
+
+def test_decks_of_pages(spark):
+    """Decks made page by page are those made of element rows."""
+    pages = spark.createDataFrame(
+        [(1, 2, 2, None, "b", "i.png", "/g"), (1, 1, 2, "A", None, "", None), (2, 1, 1, "é\n", "c", None, "")],
+        "project_id long, page_no int, n_pages int, title string, content string, image_path string, game_url string",
+    )
+    got = layout.page_decks(pages, "me").sort("project_id").collect()
+    assert got == layout.decks(layout.elements(pages), "me").sort("project_id").collect() and len(got) == 2
+    assert json.loads(got[0].deck)["slides"][1]["elements"][2]["src"] == "i.png"
+
+
+def test_digests(spark, tmp_path):
+    """Files are read by name, a damaged one as its error; a name's file may be written by the same task."""
+    pages = spark.createDataFrame([(1, 1, 1, "T", "c", "", "")], "project_id long, page_no int, n_pages int, title string, content string, image_path string, game_url string")
+    made = office_write.presentations(layout.page_decks(pages), folder=str(tmp_path / "out"))
+    assert [(r.file, r.n, r.text_md5) for r in office.digests(made, str(tmp_path / "out")).collect()] == [("presentation_1.pptx", 3, hashlib.md5(b"Title:T\nNarrativeText:c\nNarrativeText:1 / 1").hexdigest())]
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["presentation_1.pptx"]
+    (tmp_path / "out" / "b.docx").write_text("no archive")
+    assert [(r.file, r.n) for r in office.digests(spark.createDataFrame([("b.docx",)], "name string"), str(tmp_path / "out")).collect()] == [("b.docx", 1)]

@@ -65,3 +65,11 @@ def test_office_files_go_round_by_round(spark, duck, monkeypatch, name):
     assert canonical(got) == canonical(duck.execute(oracle.SQL[name]).df())
     assert set(Path(shared_dir(spark).removeprefix("file://")).glob("office-*")) <= kept
     assert sum(n for n in written if n) == len(got) and len(written) > 1 and max(written) < len(got)
+
+
+def test_each_task_has_its_own_folder_of_office_files(spark, monkeypatch):
+    """Tasks that make files in one folder wait for each other."""
+    written = []
+    monkeypatch.setattr(queries, "remove", lambda s, path: (written.append(len(list(Path(path.removeprefix("file://")).glob("*.*")))), remove(s, path)))
+    monkeypatch.setattr(queries, "TASK_FILES", 200)
+    assert queries.deck_files(spark, DATA).count() == sum(written) and max(written) <= 200
