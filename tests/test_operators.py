@@ -408,3 +408,18 @@ def test_digests(spark, tmp_path):
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["presentation_1.pptx"]
     (tmp_path / "out" / "b.docx").write_text("no archive")
     assert [(r.file, r.n) for r in office.digests(spark.createDataFrame([("b.docx",)], "name string"), str(tmp_path / "out")).collect()] == [("b.docx", 1)]
+
+
+def test_plans_are_taken_apart_by_column(spark, tmp_path):
+    """Lists of cells leave an Arrow batch as they stood in it, whichever part of a batch it is; documents show them in order."""
+    kind = pa.list_(pa.struct({"table_no": pa.int32(), "row": pa.int32(), "col": pa.int32(), "text": pa.string()}))
+    plans = [[(3, 1, 0, "b"), (1, 0, 0, None)], [], [(2, 0, 0, "x\ny <&>"), (2, 0, 1, "z"), (2, 1, 0, "wide")]]
+    as_rows = [[dict(zip(("table_no", "row", "col", "text"), c, strict=True)) for c in p] for p in plans]
+    whole = pa.RecordBatch.from_pydict({"cells": pa.array(as_rows, kind)})
+    assert list(office_write._cells(whole)) == plans and list(office_write._cells(whole.slice(1))) == plans[1:]
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(as_rows)], "project_id long, cells array<struct<table_no:int,row:int,col:int,text:string>>")
+    office_write.plan_documents(rows, str(tmp_path)).count()
+    read = {k: [text for _, text in office.paragraphs((tmp_path / f"word_project_{k}.docx").read_bytes())] for k in range(3)}
+    assert read == {0: [w.LESSON_TITLE, "", "b"], 1: [w.LESSON_TITLE], 2: [w.LESSON_TITLE, "xy <&> | z\nwide"]}
+    with zipfile.ZipFile(tmp_path / "word_project_2.docx") as z:
+        assert z.read("word/document.xml").decode().count('<w:gridSpan w:val="2"/>') == 1

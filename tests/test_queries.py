@@ -73,3 +73,10 @@ def test_each_task_has_its_own_folder_of_office_files(spark, monkeypatch):
     monkeypatch.setattr(queries, "remove", lambda s, path: (written.append(len(list(Path(path.removeprefix("file://")).glob("*.*")))), remove(s, path)))
     monkeypatch.setattr(queries, "TASK_FILES", 200)
     assert queries.deck_files(spark, DATA).count() == sum(written) and max(written) <= 200
+
+
+def test_outlines_deal_narrow_rows(spark):
+    """Line items are dealt as they are, not as the texts made of them."""
+    plan = queries._outlines(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_COL" in exchanges[0]
